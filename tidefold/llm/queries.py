@@ -4,23 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat
 from .common import table
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import bpe
+
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), *_vocabulary())
+
+
+def _vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
-    from . import bpe
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    return secrets.scan(table(spark, sf_dir, "documents"), *_vocabulary())
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import media
+
+    return media.digests(media.store(table(spark, sf_dir, "documents")))
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import urls
+
+    return urls.filter_urls(table(spark, sf_dir, "pages"), urls.RULES)
+
 
-    return bpe.encode_digests(
-        table(spark, sf_dir, "documents"),
-        public_tokenizers.path("byte_bpe_50k.tiktoken"),
-        public_tokenizers.PATTERN,
-    )
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_conversations(rows.unionByName(chat.planted(spark))))
 
 
 QUERIES = {
+    "op4_secrets": op4_secrets,
+    "op6_media": op6_media,
+    "op7_urls": op7_urls,
+    "op8_chat": op8_chat,
     "op9_bpe": op9_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_chat": chat.ORACLE}
