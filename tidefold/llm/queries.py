@@ -43,12 +43,19 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(chat.planted(spark))))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_secrets": op4_secrets,
     "op6_media": op6_media,
     "op7_urls": op7_urls,
     "op8_chat": op8_chat,
     "op9_bpe": op9_bpe,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE: dict[str, str] = {"op8_chat": chat.ORACLE}
