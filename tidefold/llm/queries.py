@@ -56,9 +56,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.join_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_secrets": op4_secrets,
+    "op5_jaccard": op5_jaccard,
     "op6_media": op6_media,
     "op7_urls": op7_urls,
     "op8_chat": op8_chat,
