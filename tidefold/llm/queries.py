@@ -20,6 +20,12 @@ def _vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embeddings
+
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -63,6 +69,7 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_embeddings": op2_embeddings,
     "op3_toxicity": op3_toxicity,
     "op4_secrets": op4_secrets,
     "op5_jaccard": op5_jaccard,
