@@ -11,15 +11,21 @@ from .common import table
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
-    return bpe.encode_digests(table(spark, sf_dir, "documents"), *_vocabulary())
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), *vocabulary())
 
 
-def _vocabulary() -> tuple[str, str]:
+def vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substrings
+
+    return substrings.digests(substrings.dedup(table(spark, sf_dir, "documents")))
+
+
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import embeddings
 
@@ -36,7 +42,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
-    return secrets.scan(table(spark, sf_dir, "documents"), *_vocabulary())
+    return secrets.scan(table(spark, sf_dir, "documents"), *vocabulary())
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +75,7 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substrings": op1_substrings,
     "op2_embeddings": op2_embeddings,
     "op3_toxicity": op3_toxicity,
     "op4_secrets": op4_secrets,
