@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -130,6 +131,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{shared_folder.local}"
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now.
+
+    They go when the driver collects the garbage that refers to them, which a
+    driver with little to do may not do for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_folder(df: DataFrame) -> None:
     """Delete what ``cut_lineage`` wrote, once nothing reads it any more."""
     spark = df.sparkSession
