@@ -1,0 +1,54 @@
+from pyspark.sql import functions as F
+
+from tidefold.operators import fold
+from tidefold.store import Store
+from tidefold.streaming import feed
+
+
+def test_stream_state_equals_batch_state(spark, folder, tmp_path):
+    with Store(spark, folder, key="int", auto_flush=False) as s:
+        for wave in range(3):
+            s.put_many(spark.createDataFrame([(k, f"{wave}-{k}") for k in range(wave, 20, wave + 1)], "key long, value string"))
+        s.delete(0)
+        state = feed.latest_state(feed.log_stream(spark, folder, "int", 1)).where(F.col("op") == fold.PUT)
+        q = (
+            state.writeStream.format("memory").queryName("folded").outputMode("complete")
+            .option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+        got = {r.key: r.value for r in spark.table("folded").collect()}
+        assert got == dict(s.get_all_it())
+
+
+def test_change_feed_and_ingest(spark, folder, tmp_path):
+    src = f"file://{tmp_path}/src"
+    spark.createDataFrame([(1, "a"), (2, "b")], "key long, value string").write.parquet(src)
+    with Store(spark, folder, key="int", auto_flush=False) as s:
+        rows = spark.readStream.schema("key long, value string").parquet(src)
+        feed.ingest(rows, s, f"{tmp_path}/c1").awaitTermination()
+        assert dict(s.get_all_it()) == {1: "a", 2: "b"}
+        seen = []
+        feed.change_feed(
+            feed.log_stream(spark, folder, "int"), lambda df, n: seen.extend((r.key, r.value) for r in df.collect()), f"{tmp_path}/c2"
+        ).awaitTermination()
+        assert sorted(seen) == [(1, "a"), (2, "b")]
+
+
+def test_follow_holds_open_transactions(spark, folder, tmp_path):
+    seen = []
+    go = lambda: feed.follow(
+        feed.log_stream(spark, folder, "string"),
+        lambda df, n: seen.extend((r.key, r.value) for r in df.collect()),
+        f"file://{tmp_path}/held",
+        f"{tmp_path}/c",
+    ).awaitTermination()
+    with Store(spark, folder, key="string", auto_flush=False) as s:
+        s.put("a", "1")
+        s.start_tx()
+        s.put("b", "2")
+        go()
+        assert seen == [("a", "1")]
+        s.put("c", "3")
+        s.end_tx()
+        go()
+        assert sorted(seen) == [("a", "1"), ("b", "2"), ("c", "3")]

@@ -11,6 +11,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.keys import literal
@@ -139,33 +140,70 @@ def count(view: DataFrame) -> DataFrame:
 
 
 def with_position(ordered: DataFrame, reverse: bool = False) -> DataFrame:
-    """Add ``pos``, the 1-based place in key order.
-
-    Rows are counted per key range first: the keys are cut into ranges, and only
-    the ranges' row counts meet in one task.
-    """
-    return _ranked(ordered, reverse, 1, "pos")
+    """Add ``pos``, the 1-based place in key order."""
+    return ranked(ordered, reverse, 1, "pos")
 
 
 def rank(view: DataFrame) -> DataFrame:
     """Add ``rnk``, the 0-based place in key order."""
-    return _ranked(view, False, 0, "rnk")
+    return ranked(view, False, 0, "rnk")
+
+
+#: Most stretches that the key space is cut into, and keys looked at for each cut.
+STRETCHES, KEYS_PER_CUT = 256, 16
+
+
+def stretch_of(rows: DataFrame) -> Column:
+    """Number of the key stretch that a row's ``key`` lies in, rising with the key.
+
+    The cuts come from a bounded number of keys, so stretches are about even;
+    what is computed with them doesn't depend on where they fall.
+    """
+    kind = rows.schema["key"].dataType
+    n = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), STRETCHES)
+    some = rows.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(n * KEYS_PER_CUT).orderBy("key").collect()
+    cuts = [some[k * len(some) // n]["key"] for k in range(1, n)] if len(some) >= n > 1 else []
 
+    def at(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col("key") < _constant(cuts[mid], kind), at(lo, mid)).otherwise(at(mid + 1, hi))
 
-def _ranked(view: DataFrame, reverse: bool, first: int, name: str) -> DataFrame:
-    columns = view.columns
-    order = [_key_order(reverse)]
-    parts = view.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    cut = view.repartitionByRange(int(parts), *order).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(*order)
-    local = cut.withColumn("_n", F.row_number().over(inside))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return at(0, len(cuts))
+
+
+def _constant(value, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_constant(value[f.name], f.dataType).alias(f.name) for f in kind])
+    return F.lit(bytes(value) if isinstance(value, bytearray) else value).cast(kind)
+
+
+def running(rows: DataFrame, amount: Column, name: str, reverse: bool = False) -> DataFrame:
+    """Add the sum of ``amount`` over all rows before this one in key order.
+
+    Sums run within stretches of the key space; of the stretches only the totals
+    meet in one task, at most STRETCHES of them.
+    """
+    columns = rows.columns
+    order = _key_order(reverse)
+    cut = rows.withColumn("_part", stretch_of(rows)).withColumn("_amount", amount)
+    inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    part_order = F.col("_part").desc() if reverse else F.col("_part").asc()
+    ahead = Window.orderBy(part_order).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        local.groupBy("_part")
-        .agg(F.count("*").alias("_rows"))
-        .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+        cut.groupBy("_part")
+        .agg(F.sum("_amount").alias("_sum"))
+        .select("_part", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_start"))
     )
-    # One row a partition: its number bounds the broadcast.
-    return local.join(F.broadcast(starts), "_part").select(
-        (F.col("_start") + F.col("_n") - 1 + first).cast("long").alias(name), *columns
+    before = F.coalesce(F.sum("_amount").over(inside), F.lit(0))
+    return (
+        cut.withColumn("_before", before)
+        .join(F.broadcast(starts), "_part")
+        .select((F.col("_start") + F.col("_before")).cast("long").alias(name), *columns)
     )
+
+
+def ranked(view: DataFrame, reverse: bool, first: int, name: str) -> DataFrame:
+    placed = running(view, F.lit(1), "_place", reverse)
+    return placed.select((F.col("_place") + first).alias(name), *view.columns)

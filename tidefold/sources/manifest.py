@@ -56,7 +56,10 @@ def load(folder: Folder) -> Manifest | None:
     for n in versions:
         try:
             raw = json.loads(folder.read(n))
-            return Manifest(**raw | {"segments": [Segment(**s) for s in raw["segments"]]})
+            found = Manifest(**raw | {"segments": [Segment(**s) for s in raw["segments"]]})
+            # The next version must not meet the name of a broken one.
+            found.version = int(versions[0][len("manifest-") : -len(".json")])
+            return found
         except (ValueError, KeyError, TypeError):
             continue
     if versions:
