@@ -1,12 +1,14 @@
 """N-gram Jaccard join by parity sketches.
 
-A document's set holds the hashes of its distinct word shingles. Each shingle
-flips one bit of a sketch, so the Hamming distance of two sketches is at most the
-size of the sets' symmetric difference. At similarity 85/100 that difference is
-at most ``3 a / 17`` for a smaller set of ``a`` shingles. Sketches are made per
-size band with one 64-bit part more than the band's largest difference: two
-linked sets agree in at least one whole part (pigeonhole). A set is keyed in the
-band of its size, and in the one below for partners there.
+A document's set holds the hashes of its distinct word shingles. A sketch is an
+array of parities: each shingle is XORed into one place, so the number of places
+in which two sketches differ is at most the size of the sets' symmetric
+difference. At similarity 85/100 that difference is at most ``3 a / 17`` for a
+smaller set of ``a`` shingles. Sketches for candidates are made per size band,
+with more places than the band's largest difference and 64 bits a place: two
+linked sets agree in at least one whole place (pigeonhole). A set is keyed in the
+band of its size, and in the one below for partners there. A second, wide sketch
+has a bit a place; its Hamming distance sifts candidates before they are verified.
 
 Sets that are equal are one class from the start. Classes that share a key are
 candidates: first each with the smallest class of the key (linear in the key's
@@ -18,6 +20,7 @@ number of near copies needs no pairs within a component.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, connected, cut_lineage, map_batches, mix, span_hash, split_words
+from .common import WordHashes, connected, cut_lineage, free_shuffles, map_batches, mix, span_hash
 
 #: Similarity as a fraction and words to a shingle.
 NUMERATOR, DENOMINATOR, SHINGLE = 85, 100, 4
@@ -42,7 +45,7 @@ class Sets:
         self.shingle, self.hashes = shingle, WordHashes()
 
     def of(self, text: str | None) -> np.ndarray:
-        words = [w.lower() for w in split_words(text)]  # bytes.lower() is A-Z only
+        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # A-Z only
         if not words:
             return np.empty(0, np.uint64)
         h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
@@ -65,22 +68,43 @@ class Bands:
             self.high.append((self.high[-1] + 1) * self.den // self.num)
         return int(np.searchsorted(self.high, size))
 
+    def places(self, band: int) -> tuple[int, int]:
+        """(places of the band's sketches, agreeing ones that a linked pair has at least).
+
+        The sets of a pair agree in all but ``difference`` places. Some more are
+        added so that a set has rarely as many empty places as must agree.
+        """
+        least = self.difference(self.high[band]) + 1
+        if least == 1:
+            return 1, 1
+        empty = least * math.exp(-(self.high[band - 1] + 1) / least)
+        more = math.ceil(empty + 3 * math.sqrt(empty)) + 1
+        return least + more, 1 + more
+
     def keys(self, s: np.ndarray) -> list[np.ndarray]:
-        """Keys of one sorted set: the parts of its sketch in its bands."""
+        """Keys of one sorted set: the places of its sketch in its bands.
+
+        Empty places say little: they are keyed only by a set that has as many
+        as must agree. Of a linked pair, either both sets are such, or they agree
+        in a place that isn't empty.
+        """
         own, out = self.of(len(s)), []
         for band in (own - 1, own):
             if band < 1 or band < own and len(s) > self.high[band] * self.den // self.num:
                 continue
-            parts = self.difference(self.high[band]) + 1
-            if parts == 1:
+            places, agree = self.places(band)
+            if places == 1:
                 continue  # only equal sets, which are one class already
-            # Hashes are sorted, so the part numbers are too.
-            part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            first = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
-            words = np.zeros(parts, np.uint64)
-            bits = np.uint64(1) << (mix(s, np.uint64(5)) >> np.uint64(58))
-            words[part[first].astype(np.int64)] = np.bitwise_xor.reduceat(bits, first)
-            out.append(mix(mix(words, np.arange(parts, dtype=np.uint64)), np.uint64(band)))
+            # Hashes are sorted, so the places are too.
+            place = ((s >> np.uint64(32)) * np.uint64(places)) >> np.uint64(32)
+            first = np.flatnonzero(np.diff(place, prepend=np.uint64(places)))
+            words = np.bitwise_xor.reduceat(mix(s, np.uint64(5)), first)
+            at = place[first]
+            if places - len(at) >= agree:
+                full = np.zeros(places, np.uint64)
+                full[at.astype(np.int64)] = words
+                words, at = full, np.arange(places, dtype=np.uint64)
+            out.append(mix(mix(words, at), np.uint64(band)))
         return out
 
 
@@ -114,7 +138,7 @@ def set_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def key_table(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """(key, s1) for every part of every set's sketches; equal sets of a batch once."""
+    """(key, s1) for every place of every set's sketches; equal sets near one another once."""
 
     def run(cols):
         sets, bands, seen, keys, sigs = Sets(shingle), Bands(num, den), set(), [], []
@@ -143,6 +167,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
     need = ids.select(F.col("a").alias("doc_id")).union(ids.select("b")).distinct()
     # A class's documents have equal sets, but one id may stand in several rows of unlike text.
     texts = cut_lineage(docs.select("doc_id", "text").join(need.hint("merge"), "doc_id", "left_semi"))
+    free_shuffles(docs.sparkSession)
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     both = ids.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
@@ -201,6 +226,7 @@ def join_components(
         .where("low < high")
         .drop("high")
     )
+    free_shuffles(docs.sparkSession)
     light = classes.select("s1", "n", *_SKETCH)
 
     def sifted(pairs: DataFrame) -> DataFrame:
