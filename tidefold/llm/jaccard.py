@@ -11,8 +11,8 @@ band of its size, and in the one below for partners there. A second, wide sketch
 has a bit a place; its Hamming distance sifts candidates before they are verified.
 
 Sets that are equal are one class from the start. Classes that share a key are
-candidates: first each with the smallest class of the key (linear in the key's
-classes), then, where the classes of a key are still in different components,
+candidates: first each with the one class of the key that shares most with others
+(linear in the key's classes; of near copies that is their source), then, where the classes of a key are still in different components,
 all pairs across components whose wide sketches are near enough. All candidates
 are verified on the whole texts, so the components are exact, and a group of any
 number of near copies needs no pairs within a component.
@@ -218,15 +218,23 @@ def join_components(
     classes = cut_lineage(
         filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *[F.min(k).alias(k) for k in _SKETCH])
     )
-    # Keys that more than one class has.
+    # Keys that more than one class has, and how many have each.
     per_key = Window.partitionBy("key")
     shared = cut_lineage(
         key_table(docs.where("doc_id is not null"), shingle, num, den)
-        .select("key", "s1", F.min("s1").over(per_key).alias("low"), F.max("s1").over(per_key).alias("high"))
+        .select("key", "s1", F.min("s1").over(per_key).alias("low"), F.max("s1").over(per_key).alias("high"), F.count("*").over(per_key).alias("n"))
         .where("low < high")
-        .drop("high")
+        .select("key", "s1", "n")
+        .distinct()
     )
     free_shuffles(docs.sparkSession)
+    # The text that others are copies of shares most: it stands for the key.
+    support = shared.groupBy("s1").agg(F.sum("n").alias("support"))
+    shared = cut_lineage(
+        shared.join(support.hint("merge"), "s1").select(
+            "key", "s1", F.max(F.struct("support", "s1")).over(per_key)["s1"].alias("head")
+        )
+    )
     light = classes.select("s1", "n", *_SKETCH)
 
     def sifted(pairs: DataFrame) -> DataFrame:
@@ -240,14 +248,13 @@ def join_components(
             .select("p.x", "p.y")
         )
 
-    star = shared.where("s1 <> low").select(F.col("s1").alias("x"), F.col("low").alias("y")).distinct()
+    star = shared.where("s1 <> head").select(F.least("s1", "head").alias("x"), F.greatest("s1", "head").alias("y")).distinct()
     edges = _verified(sifted(star), classes, docs, shingle, num, den)
     ids = classes.select(F.col("rep").alias("id")).distinct()
     first = cut_lineage(connected(edges, ids))
     marked = classes.join(first.hint("merge"), classes["rep"] == first["id"]).select("s1", "component", "n", *_SKETCH)
     split = cut_lineage(
         shared.select("key", "s1")
-        .distinct()
         .join(marked.select("s1", "component").hint("merge"), "s1")
         .select("key", "s1", "component", F.min("component").over(per_key).alias("low"), F.max("component").over(per_key).alias("high"))
         .where("low < high")
