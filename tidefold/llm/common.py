@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,17 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_batches(
-    df: DataFrame, fn: Callable[[dict[str, pa.Array]], dict], schema: str
+    df: DataFrame, fn: Callable[[dict[str, pa.Array]], dict], schema: str, text_bytes: int | None = None
 ) -> DataFrame:
     """Run ``fn`` on every Arrow batch of ``df``.
 
     ``fn`` gets a dict of column arrays and returns a dict of arrays or lists in
-    the order of ``schema``; the number of rows may change.
+    the order of ``schema``; the number of rows may change. With ``text_bytes``
+    it gets so much of the column ``text`` at a time, or one longer row.
     """
     target = _arrow_schema(df.sparkSession, schema)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, text_bytes):
             cols = dict(zip(batch.schema.names, batch.columns))
             out = fn(cols)
             arrays = [
@@ -49,6 +53,45 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have the session send Python batches of a few MB, not of 10,000 rows of any length.
+
+    Results don't depend on it; a smaller setting of the user's stays.
+    """
+    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = re.sub("[bB]$", "", str(spark.conf.get(name)))
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
+
+
+def pieces(batches: Iterator[pa.RecordBatch], text_bytes: int | None) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the column ``text`` has ``text_bytes`` at most, or is one row."""
+    for batch in batches:
+        if text_bytes is None or not batch.num_rows:
+            yield batch
+            continue
+        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0)
+        upto = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            done = int(upto[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(upto, done + text_bytes, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def map_same(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], text_bytes: int) -> DataFrame:
+    """Run ``fn``, which keeps the columns, on pieces of ``df`` of so much ``text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, text_bytes):
+            yield fn(piece)
+
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, df.schema)
+
+
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -59,7 +102,7 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash; forgets everything once it holds ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 120_000):
         super().__init__()
         self.limit = limit
 

@@ -35,6 +35,8 @@ from .common import WordHashes, connected, cut_lineage, free_shuffles, map_batch
 #: Similarity as a fraction and words to a shingle.
 NUMERATOR, DENOMINATOR, SHINGLE = 85, 100, 4
 SKETCH_WORDS = 16
+#: Text that a Python worker takes at a time.
+TEXT_BYTES = 1_000_000
 _SKETCH = [f"k{i}" for i in range(SKETCH_WORDS)]
 
 
@@ -121,8 +123,10 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 def set_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n, (s1, s2) signature of the set, k0.. wide parity sketch."""
 
+    sets = Sets(shingle)
+
     def run(cols):
-        sets, n, sig, wide = Sets(shingle), [], [], []
+        n, sig, wide = [], [], []
         for t in cols["text"].to_pylist():
             s = sets.of(t)
             n.append(len(s))
@@ -133,15 +137,21 @@ def set_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         return out | {k: pa.array(sketch[:, i]) for i, k in enumerate(_SKETCH)}
 
     return map_batches(
-        docs.select("doc_id", "text"), run, "doc_id long, n long, s1 long, s2 long, " + ", ".join(f"{k} long" for k in _SKETCH)
+        docs.select("doc_id", "text"),
+        run,
+        "doc_id long, n long, s1 long, s2 long, " + ", ".join(f"{k} long" for k in _SKETCH),
+        TEXT_BYTES,
     )
 
 
 def key_table(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """(key, s1) for every place of every set's sketches; equal sets near one another once."""
+    sets, bands, seen = Sets(shingle), Bands(num, den), set()
 
     def run(cols):
-        sets, bands, seen, keys, sigs = Sets(shingle), Bands(num, den), set(), [], []
+        keys, sigs = [], []
+        if len(seen) > 100_000:
+            seen.clear()
         for t in cols["text"].to_pylist():
             s = sets.of(t)
             sig = _signature(s) if len(s) else None
@@ -154,7 +164,7 @@ def key_table(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
         join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
         return {"key": pa.array(join(keys).view(np.int64)), "s1": pa.array(join(sigs))}
 
-    return map_batches(docs.select("text"), run, "key long, s1 long")
+    return map_batches(docs.select("text"), run, "key long, s1 long", TEXT_BYTES)
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
