@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 HEADER = "<|format:{}|>\n"
 ESC = "\x1b"
+_LEVEL_AT = HEADER.index("{") + 1
 
 
 def _escape(c: Column, lines: bool = False) -> Column:
@@ -49,7 +50,7 @@ def _render(turns: Column, level: int) -> Column:
 def parse(formatted: Column) -> Column:
     """array<struct<role, raw, text>>: the turns of a formatted string; raw is the text as it stands there."""
     head = F.substring_index(formatted, "\n", 1)
-    level = F.substring(head, len(HEADER) - 5, 1)
+    level = F.substring(head, _LEVEL_AT, 1)
     body = F.substring(formatted, F.length(head) + 2, F.length(formatted))
     pieces = F.slice(F.split(body, r"<\|im_start\|>"), F.lit(2), F.greatest(F.size(F.split(body, r"<\|im_start\|>")) - 1, F.lit(0)))
 
@@ -103,7 +104,7 @@ def format_conversations(rows: DataFrame, trained_role: str = "assistant") -> Da
     )
     return out.select(
         "conv_id",
-        F.substring("formatted", len(HEADER) - 5, 1).cast("int").alias("level"),
+        F.substring("formatted", _LEVEL_AT, 1).cast("int").alias("level"),
         "formatted",
         parsed.alias("parsed"),
     )
