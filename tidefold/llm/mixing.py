@@ -20,13 +20,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut_lineage, mix as mix64
+from .common import cut_lineage, pieces, small_batches
+from .common import mix as mix64
 
 #: Fixed values of the registered query.
 WEIGHTS, MOST = (5, 2, 1), 3
-BLOCK, SHARD_SLOTS, CHUNK_ROWS, SEED = 128, 8192, 4000, 20_240_229
+BLOCK, SHARD_SLOTS, CHUNK_ROWS, SEED = 128, 8192, 1000, 20_240_229
+#: Text that a Python worker takes at a time.
+TEXT_BYTES = 8_000_000
 _DRAW_LIMIT = 900_000_000
 _BROADCAST_ROWS = 10_000
 
@@ -124,7 +128,7 @@ def _with_blocks(docs: DataFrame, weights, most, seed) -> tuple[DataFrame, DataF
     starts = starts.select("sid", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     own = own.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = own.join(starts, ["sid", "chunk"]).withColumn("at", F.col("start") + F.col("inside")).drop("chunk", "inside", "start", "tie")
+    rows = own.join(starts.hint("merge"), ["sid", "chunk"]).withColumn("at", F.col("start") + F.col("inside")).drop("chunk", "inside", "start", "tie")
 
     n_shards = max(1, int(slots.sum()) // SHARD_SLOTS)
     n_blocks = np.array(blocks, np.int64)
@@ -172,13 +176,13 @@ def mix_report(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = S
     rows = cut_lineage(rows.drop("source"))
     taken = (
         _pieces(rows)
-        .join(times, ["sid", "block"])
+        .join(times.hint("merge"), ["sid", "block"])
         .groupBy("sid", "at")
         .agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     )
     # A row without words may share its place with the next one.
     return rows.join(
-        taken, (rows["sid"] == taken["sid"]) & (rows["at"] == taken["at"]) & (rows["size"] > 0), "left"
+        taken.hint("merge"), (rows["sid"] == taken["sid"]) & (rows["at"] == taken["at"]) & (rows["size"] > 0), "left"
     ).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -191,47 +195,50 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int
     """
     names = docs.columns
     packed = docs.select(
-        "doc_id", "source", F.struct(*names).alias("row"), count_words().alias("size"), F.xxhash64("text").alias("tie")
+        "doc_id", "source", F.struct(*[c for c in names if c != "text"]).alias("row"), "text", count_words().alias("size"), F.xxhash64("text").alias("tie")
     )
     thin = cut_lineage(packed.select("doc_id", "source", "size", "tie"))
     rows, times, _ = _with_blocks(thin.withColumn("tag", F.col("tie")), weights, most, seed)
     rows = cut_lineage(rows.where("size > 0").select("sid", "at", "doc_id", "size", "tag"))
     parts = (
         _pieces(rows)
-        .join(times, ["sid", "block"])
+        .join(times.hint("merge"), ["sid", "block"])
         .groupBy("sid", "at")
         .agg(F.collect_list(F.struct("block", "times")).alias("taken"))
     )
-    parts = rows.join(parts, ["sid", "at"]).select("doc_id", "size", "tag", "at", "taken")
+    parts = rows.join(parts.hint("merge"), ["sid", "at"]).select("doc_id", "size", "tag", "at", "taken")
     # Rows that are alike in all of this differ in no way that matters: any of them may have any place.
     nth = Window.partitionBy("doc_id", "size", "tag").orderBy("at")
     parts = parts.withColumn("nth", F.row_number().over(nth))
     alike = Window.partitionBy("doc_id", "size", "tag").orderBy(F.lit(0))
     whole = packed.where("size > 0").withColumnRenamed("tie", "tag").withColumn("nth", F.row_number().over(alike))
-    joined = whole.join(parts, ["doc_id", "size", "tag", "nth"]).select("row", "size", "at", "taken")
+    joined = whole.join(parts.hint("merge"), ["doc_id", "size", "tag", "nth"]).select("row", "text", "size", "at", "taken")
+    held = joined.schema["row"]
 
-    def cut(size, at, text, taken):
+    def cut(batches):
         """Texts per pass; size, at: the row's place; taken: its blocks with their times."""
-        import pandas as pd
-
-        out = []
-        for n, first, t, own in zip(size, at, text, taken):
-            own = sorted((int(x["block"]), int(x["times"])) for x in own)
-            n, first, passes, words = int(n), int(first), [], None
-            for p in range(1, max(x for _, x in own) + 1):
-                spans = [(max(b * BLOCK - first, 0), min((b + 1) * BLOCK - first, n)) for b, x in own if x >= p]
-                if sum(e - s for s, e in spans) == n:
-                    passes.append(t)
-                    continue
-                words = words or t.encode("utf-8", "surrogatepass").split()
-                passes.append(b" ".join(w for s, e in spans for w in words[s:e]).decode("utf-8", "surrogatepass"))
-            out.append(passes)
-        return pd.Series(out)
-
-    passes = F.pandas_udf(cut, "array<string>")("size", "at", F.col("row.text"), "taken")
-    return joined.select("row", F.explode(passes).alias("mixed")).select(
+        for piece in pieces(batches, TEXT_BYTES):
+            rows, texts = [], []
+            texts_in, sizes, firsts, taken = (piece.column(k).to_pylist() for k in range(1, 5))
+            for k, (n, first, t, own) in enumerate(zip(sizes, firsts, texts_in, taken)):
+                own, words = sorted((x["block"], x["times"]) for x in own), None
+                for p in range(1, max(x for _, x in own) + 1):
+                    spans = [(max(b * BLOCK - first, 0), min((b + 1) * BLOCK - first, n)) for b, x in own if x >= p]
+                    rows.append(k)
+                    if sum(e - s for s, e in spans) == n:
+                        texts.append(t)
+                        continue
+                    words = words or t.encode("utf-8", "surrogatepass").split()
+                    texts.append(b" ".join(w for s, e in spans for w in words[s:e]).decode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(0).take(pa.array(rows, pa.int64())), pa.array(texts, piece.column(1).type)], names=["row", "mixed"]
+            )
+
+    small_batches(docs.sparkSession)
+    out = joined.mapInArrow(cut, T.StructType([held, T.StructField("mixed", T.StringType())]))
+    return out.select(
         *[
-            F.col("mixed").alias(c) if c == "text" else F.length("mixed").cast("long").alias(c) if c == "n_chars" else F.col(f"row.{c}").alias(c)
+            F.col("mixed").alias(c) if c == "text" else F.length("mixed").cast("long").alias(c) if c == "n_chars" else F.col("row")[c].alias(c)
             for c in names
         ]
     )
