@@ -1,0 +1,74 @@
+import hashlib
+import random
+import re
+
+import public_tokenizers
+
+from tidefold.llm import secrets as S
+
+VOCABULARY = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def base(text):
+    """The base patterns as they are written, one after another."""
+    spans = []
+    assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    ascii_case = re.compile(re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", assign.split(")")[0]) + assign[assign.index(")") :])
+    spans += [(m.start(), 0, m.end()) for m in ascii_case.finditer(text) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(spans)
+
+
+def check(documents, rows):
+    got = S.scan(documents(rows), *VOCABULARY).collect()
+    want = sorted(
+        (
+            str(i),
+            *(sum(k == kind for _, k, _ in base(t or "")) for kind in range(3)),
+            hashlib.sha256(",".join(f"{S.KINDS[k]}:{s}:{e}" for s, k, e in base(t or "")).encode()).hexdigest(),
+        )
+        for i, t in rows
+    )
+    assert sorted((str(r.doc_id), r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == want
+    return {r.doc_id: r for r in got}
+
+
+def test_random_mixtures(documents):
+    rng = random.Random(6)
+    bits = [
+        "password", "PassWD", "secret", "token", "api_key", "apikey", "APIKEY", '"', "'", " ", "  ", ":", "=", "é", "ſecret", "K",
+        "AKIA", "ABCDEFGHIJ0123456789", "deadbeef" * 3, "0123456789abcdef", "A1b2C3d4E5f6G7h8", "word", "\n", "x.y_z-=/+", "😀",
+    ]
+    check(documents, [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(40)))) for i in range(300)])
+
+
+def test_odd_texts(documents):
+    rows = [(1, None), (2, ""), (None, "token=abcdef"), (3, "token = abcde"), (3, "token = abcde"), (4, "a" * 200_000), (5, "token" + " " * 5000 + "=" + "abcdefg")]
+    check(documents, rows)
+    assert S.scan(documents(rows).limit(0), *VOCABULARY).collect() == []
+
+
+def test_random_strings_are_added_and_known_ones_are_not(documents):
+    loose = "xK9vQ2mZp7Lw3RtY8bNc"
+    rows = [
+        (1, f"é see {loose} here"),
+        (2, "internationalization_of_things and camelCaseIdentifierNames"),
+        (3, "123e4567-e89b-42d3-a456-426614174000"),
+        (4, "d41d8cd98f00b204e9800998ecf8427e"),
+        (5, f"token = {loose}"),
+        (6, "einstlichenkeitgeachtungen thertionandingofthe"),
+    ]
+    got = check(documents, rows)
+    assert got[1].spans == "random:6:26" and got[1].n_random == 1
+    assert [got[k].n_random for k in (2, 3, 4, 5, 6)] == [0] * 5
+    assert got[4].spans == "hex:0:32"
+    assert got[5].spans == f"assign:0:{8 + len(loose)}"
+
+
+def test_redaction_keeps_everything_else(documents):
+    rows = [(1, 'say token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" now'), (2, None), (3, "plain é"), (4, "")]
+    df = documents(rows)
+    out = S.redact(df, *VOCABULARY)
+    assert out.columns == df.columns
+    assert {r.doc_id: r.text for r in out.collect()} == {1: 'say [SECRET]" now', 2: None, 3: "plain é", 4: ""}

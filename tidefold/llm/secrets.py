@@ -14,9 +14,10 @@ import re
 from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_batches
+from .common import map_batches, map_same
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -26,6 +27,8 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
+#: Text that a Python worker takes at a time.
+TEXT_BYTES = 8_000_000
 #: The method's own parameters.
 MIN_RANDOM, MAX_RATIO = 16, 2.2
 DIGEST_CHARS = {32, 40, 56, 64, 96, 128}
@@ -146,6 +149,7 @@ def scan(df: DataFrame, path: str, pattern: str) -> DataFrame:
         df.select("doc_id", "text"),
         run,
         "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long",
+        TEXT_BYTES,
     )
 
 
@@ -155,20 +159,17 @@ def redact(df: DataFrame, path: str, pattern: str, mask: str = "[SECRET]") -> Da
     Overlapping spans become one mask. Texts without secrets, nulls included,
     stay as they are.
     """
-    from pyspark.sql import functions as F
 
-    def run(column):
-        import pandas as pd
-
-        texts = column.tolist()
-        out = []
+    def run(piece):
+        at = piece.schema.get_field_index("text")
+        texts, out = piece.column(at).to_pylist(), []
         for t, spans in zip(texts, scan_batch(texts, _encoder(path, pattern).encode_ordinary)):
-            parts, at, open_to = [], 0, -1
+            parts, done, open_to = [], 0, -1
             for s, _, e in spans:
                 if s >= open_to:
-                    parts += [t[at:s], mask]
-                at = open_to = max(open_to, e)
-            out.append("".join([*parts, t[at:]]) if spans else t)
-        return pd.Series(out, dtype=object)
+                    parts += [t[done:s], mask]
+                done = open_to = max(open_to, e)
+            out.append("".join([*parts, t[done:]]) if spans else t)
+        return piece.set_column(at, piece.schema.field(at), pa.array(out, piece.schema.field(at).type))
 
-    return df.withColumn("text", F.pandas_udf(run, "string")(F.col("text")))
+    return map_same(df, run, TEXT_BYTES)

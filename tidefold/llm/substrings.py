@@ -32,6 +32,8 @@ WINDOW = 50
 #: may settle differently within twice its largest symbol of a window's end.
 CAPS = (2, 4)
 MARGIN = sum(2 * c for c in CAPS)
+#: Text that a Python worker parses at a time.
+TEXT_BYTES = 1_000_000
 
 
 def recompress(names: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +181,7 @@ def _stretch_rows(docs: DataFrame, window: int, named: bool) -> DataFrame:
         return out
 
     schema = "phrase long, c1 long, c2 long, doc_id long, lo int, hi int" if named else "phrase long, doc_id long"
-    return map_batches(docs, run, schema)
+    return map_batches(docs, run, schema, TEXT_BYTES)
 
 
 _HASHES = WordHashes()
@@ -241,7 +243,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             "at": pa.array((at - p.starts[of]).astype(np.int32)),
         }
 
-    each = cut_lineage(map_batches(texts.select("doc_id", "text", "parts"), run, "w1 long, w2 long, doc_id long, at int"))
+    each = cut_lineage(map_batches(texts.select("doc_id", "text", "parts"), run, "w1 long, w2 long, doc_id long, at int", TEXT_BYTES))
     free_shuffles(spark)
     least = each.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     some = each.join(least.drop("most").hint("merge"), ["w1", "w2"]).where("least < doc_id").select(
@@ -289,6 +291,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         joined.select("doc_id", "text", "cuts"),
         run,
         "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start: int, end: int>>",
+        TEXT_BYTES,
     )
 
 

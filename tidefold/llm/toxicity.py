@@ -16,15 +16,17 @@ import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, mix
+from .common import map_batches, map_same, mix
 
 WINDOW, STRIDE = 64, 32
 HIDDEN, WORD_DIM, CHAR_DIM, WORD_ROWS, CHAR_ROWS = 8, 6, 6, 1 << 14, 1 << 15
 PER_CLASS, EPOCHS, BATCH, RATE, SEED = 1000, 12, 64, 0.01, 7
 LEAST = 4  # sampled texts that must have a word or n-gram before it is learnt
+TEXT_BYTES = 8_000_000  # text that a Python worker takes at a time
 LONGEST = 24  # characters of an input word; longer ones enter as several
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -207,7 +209,7 @@ class Network:
 class Scorer:
     """Scores texts; keeps the gate inputs of the words it has met."""
 
-    def __init__(self, net: Network, limit: int = 250_000):
+    def __init__(self, net: Network, limit: int = 200_000):
         self.net, self.limit = net, limit
         self._clear()
 
@@ -395,16 +397,15 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
         s = _scorer_of(net).scores(cols["text"].to_pylist())
         return {"doc_id": cols["doc_id"], "score": s, "predicted": (s >= 0.5).astype(np.int32)}
 
-    out = map_batches(docs.select("doc_id", "text"), run, "doc_id long, score double, predicted int")
+    out = map_batches(docs.select("doc_id", "text"), run, "doc_id long, score double, predicted int", TEXT_BYTES)
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def reject(docs: DataFrame, net: Network) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
 
-    def run(texts):
-        import pandas as pd
+    def run(piece):
+        texts = piece.column(piece.schema.get_field_index("text")).to_pylist()
+        return piece.filter(pa.array(_scorer_of(net).scores(texts) < 0.5))
 
-        return pd.Series(_scorer_of(net).scores(texts.tolist()))
-
-    return docs.where(F.pandas_udf(run, "double")(F.col("text")) < 0.5)
+    return map_same(docs, run, TEXT_BYTES)
