@@ -116,3 +116,18 @@ def test_a_template_of_blocked_labels_is_rejected(spark):
 
 def test_empty_table(spark):
     assert U.filter_urls(spark.createDataFrame([], "page_id long, url string"), U.RULES).collect() == []
+
+
+def test_oracle_sql(spark):
+    import duckdb
+
+    rng = random.Random(17)
+    rules = [*U.RULES, ("block", "shop.test", "/buy/"), ("allow", "shop.test", "/view/")]
+    rows = [(k, f"http://{rng.choice(['shop.test', 'a.shop.test'])}/{rng.choice(['buy', 'view', 'x'])}/{rng.choice(['a', 'b9', 'deadbeef' * 3])}/{'d/' * rng.randrange(10)}") for k in range(600)]
+    rows += [(900, None), (901, ""), (902, "http://Q.NET/1?x"), (902, "http://Q.NET/1?x")]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    c.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    want = c.execute("SELECT page_id, host, path, rule, verdict, template FROM (" + U.oracle(rules) + ")").fetchall()
+    got = U.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).drop("n_labels", "purity")
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)

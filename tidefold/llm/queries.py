@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat
+from . import chat, urls
 from .common import table
 
 
@@ -52,8 +52,6 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import urls
-
     return urls.filter_urls(table(spark, sf_dir, "pages"), urls.RULES)
 
 
@@ -87,4 +85,4 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE: dict[str, str] = {"op8_chat": chat.ORACLE}
+ORACLE: dict[str, str] = {"op7_urls": urls.oracle(), "op8_chat": chat.ORACLE}

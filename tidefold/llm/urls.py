@@ -49,7 +49,7 @@ def rule_for(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Col
 def _shape(path: Column) -> Column:
     """Segments with their variable parts as placeholders; deeper ones in one tail."""
     p = F.regexp_replace(path, r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "{u}")
-    p = F.regexp_replace(p, r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{16,}\b", "{x}")
+    p = F.regexp_replace(p, r"\b[0-9a-f]{16,}\b", "{x}")
     p = F.regexp_replace(p, r"[0-9]+", "{n}")
     segs = F.split(p, "/")
     return F.when(
@@ -160,3 +160,57 @@ def filter_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None =
     return base.join(judged, ["host", "segs"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", by_method).alias("verdict"), "template", "n_labels", "purity"
     )
+
+
+def oracle(rules: list[Rule] = RULES) -> str:
+    """The registered query as DuckDB SQL: the same levels, each as a common table."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
+    order = sorted(rules, key=lambda r: -len(r[1] + r[2]))
+    pick = lambda f: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{f(a, h, p)}'" for a, h, p in order) + " END"
+    uuid = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+    ctes = [
+        "p0 AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        "p1 AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM p0)",
+        f"p2 AS (SELECT page_id, translate(raw, '{upper}', '{upper.lower()}') AS host,"
+        " regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM p1)",
+        f"p3 AS (SELECT *, {pick(lambda a, h, p: h + p)} AS rule, {pick(lambda a, h, p: a)} AS by_rule,"
+        f" string_split(regexp_replace(regexp_replace(regexp_replace(path, '\\b{uuid}\\b', '{{u}}', 'gi'),"
+        " '\\b[0-9a-f]{16,}\\b', '{x}', 'g'), '[0-9]+', '{n}', 'g'), '/') AS parts FROM p2)",
+        f"base AS (SELECT *, CASE WHEN len(parts) > {MAX_DEPTH} THEN parts[1:{MAX_DEPTH}] || ['**'] ELSE parts END AS segs FROM p3)",
+        "t0 AS (SELECT host, segs, count(*) AS n, count(*) FILTER (by_rule = 'block') AS bad, count(by_rule) AS labelled,"
+        " '' AS template FROM base GROUP BY host, segs)",
+    ]
+    for d in range(MAX_DEPTH + 1):
+        ctes += [
+            f"c{d} AS (SELECT host, template, segs[{d + 1}] AS seg, sum(n) AS c FROM t{d} WHERE segs[{d + 1}] IS NOT NULL GROUP BY ALL)",
+            f"n{d} AS (SELECT host, template, sum(c) AS every FROM c{d} GROUP BY ALL)",
+            f"k{d} AS (SELECT host, template, seg FROM c{d} JOIN n{d} USING (host, template) WHERE c >= {MIN_SHARE} * every)",
+            f"t{d + 1} AS (SELECT t.host, segs, n, bad, labelled, CASE WHEN segs[{d + 1}] IS NULL THEN t.template"
+            f" ELSE t.template || '/' || CASE WHEN k.seg IS NOT NULL THEN segs[{d + 1}] ELSE '*' END END AS template"
+            f" FROM t{d} t LEFT JOIN k{d} k ON k.host = t.host AND k.template = t.template AND k.seg = t.segs[{d + 1}])",
+        ]
+    last = f"t{MAX_DEPTH + 1}"
+    ctes.append(
+        f"m{MAX_DEPTH + 1} AS (SELECT host, template, sum(bad) AS bad, sum(labelled) AS labelled, template AS merged FROM {last} GROUP BY host, template)"
+    )
+    for d in range(MAX_DEPTH + 1, 0, -1):
+        rate = "(pb / CAST(pk AS DOUBLE))"
+        ctes += [
+            f"s{d} AS (SELECT *, array_to_string(x[1:{d}] || ['*'] || x[{d + 2}:], '/') AS pool FROM (SELECT host, merged, sum(bad) AS b,"
+            f" sum(labelled) AS k, string_split(merged, '/') AS x FROM m{d} GROUP BY host, merged) WHERE len(x) > {d} AND k >= {MIN_LABELS})",
+            f"g{d} AS (SELECT host, pool, sum(b) AS pb, sum(k) AS pk FROM s{d} GROUP BY host, pool HAVING count(*) > 1)",
+            f"j{d} AS (SELECT host, merged, pool FROM s{d} JOIN g{d} USING (host, pool)"
+            f" WHERE abs(b - k * {rate}) <= {Z} * sqrt(k * {rate} * (1 - {rate})) + 0.5)",
+            f"m{d - 1} AS (SELECT m.host, template, bad, labelled, coalesce(pool, m.merged) AS merged FROM m{d} m"
+            f" LEFT JOIN j{d} j ON j.host = m.host AND j.merged = m.merged)",
+        ]
+    return (
+        "WITH " + ",\n".join(ctes) + f""",
+q AS (SELECT host, merged, CAST(sum(labelled) AS BIGINT) AS n_labels,
+  CAST(sum(bad) + {ALPHA / 2} AS DOUBLE) / CAST(sum(labelled) + {ALPHA} AS DOUBLE) AS purity FROM m0 GROUP BY host, merged)
+SELECT page_id, b.host, path, rule, coalesce(by_rule, CASE WHEN purity >= {REJECT_AT} THEN 'block' ELSE 'allow' END) AS verdict,
+  q.merged AS template, n_labels, purity
+FROM base b JOIN {last} t ON t.host = b.host AND t.segs = b.segs
+JOIN m0 ON m0.host = t.host AND m0.template = t.template JOIN q ON q.host = m0.host AND q.merged = m0.merged"""
+    )
