@@ -206,3 +206,37 @@ def test_auto_flush_and_cache(spark, folder):
         assert s.get(5) == "x" * 50
         s.put(5, "new")
         assert s.get(5) == "new" and s.get_count() == 200
+
+
+def test_names_of_the_interface(spark, folder):
+    names = """on off flushLog isOpen isClosed ready get delete del put batch createReadStream createKeyStream
+        createValueStream getAllKeys getAllKeysIt getAllKeysStream getCount getAll getAllIt getAllStream range rangeIt
+        rangeStream offset offsetIt offsetStream query queryIt queryStream exists startTx begin_transaction endTx
+        end_transaction abortTx close empty version isCompacting isTx keyType memoryCache""".split()
+    with Store(spark, folder, key="int") as s:
+        assert all(hasattr(s, n) for n in names)
+        assert (s.keyType, s.memoryCache, s.isTx, s.isCompacting, s.isOpen()) == ("int", False, False, False, True)
+        getattr(s, "del")(1)
+        s.put(2, "x")
+        s.flushLog()
+        assert list(s.level_bytes()) == [0]
+
+
+def test_large_values_survive_waves_of_compaction(spark, folder, monkeypatch):
+    """Newest version, deletes and counts after restarts between waves of wide values."""
+    monkeypatch.setattr(compact, "SEGMENT_BYTES", 40_000)
+    monkeypatch.setattr(compact, "level_limit", lambda level: 10_000 * 10**level)
+    frame = lambda keys, tag: spark.createDataFrame([(k, tag + "x" * 3000) for k in keys], "key long, value string")
+    with Store(spark, folder, key="int", auto_flush=False) as s:
+        s.put_many(frame(range(80), "v1"))
+        s.flush_log()
+    with Store(spark, folder, key="int", auto_flush=False) as s:
+        s.put_many(frame(range(20, 80), "v2"))
+        s.batch([{"type": "del", "key": k} for k in range(15)])
+        s.flush_log()
+        s.put_many(frame(range(90, 120), "v3"))
+        s.flush_log()
+    with Store(spark, folder, key="int", auto_flush=False) as s:
+        assert s.get_count() == 95
+        assert [(s.get(k) or "none")[:2] for k in (5, 17, 45, 119)] == ["no", "v1", "v2", "v3"]
+        assert max(x.level for x in s.manifest.segments) > 0

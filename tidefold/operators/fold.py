@@ -57,13 +57,14 @@ def committed(log: DataFrame) -> DataFrame:
 
 
 def committed_by(log: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """As ``committed``, with the outcomes in a table (tx, op): one row a transaction.
+    """As ``committed`` where each transaction has a number of its own, with the
+    outcomes in a table (tx, op).
 
-    Two joins on tx, no window: a transaction of any size is spread over tasks.
+    A semi-join on tx, no window: a transaction of any size is spread over tasks.
     """
-    auto = log.where(F.col("tx").isNull())
+    writes = log.where(F.col("op").isin(PUT, DELETE))
     done = outcomes.where(F.col("op") == COMMIT).select("tx")
-    return auto.unionByName(log.join(done, "tx", "left_semi").select(*log.columns))
+    return writes.where(F.col("tx").isNull()).unionByName(writes.join(done, "tx", "left_semi").select(*log.columns))
 
 
 def as_of(records: DataFrame, seq: int) -> DataFrame:

@@ -141,9 +141,13 @@ class Store:
         self._check()
         own = self.manifest.segments if segments is None else segments
         runs = L.read_segments(self.spark, [f"{self.path}/{s.file}" for s in own], self.key_type)
-        done = fold.committed(self.log()).select(*runs.columns)
+        done = self._committed().select(*runs.columns)
         return done.unionByName(runs) if own else done
 
+    def _committed(self) -> DataFrame:
+        log = self.log()
+        return fold.committed_by(log, log.select("tx", "op"))
+
     def view(self, near: tuple | None = None) -> DataFrame:
         """(key, value, data): the newest committed state; value holds text, data bytes.
 
@@ -443,6 +447,13 @@ class Store:
 
     # Maintenance
 
+    def level_bytes(self) -> dict[int, int]:
+        """Bytes of the segments of each level."""
+        out: dict[int, int] = {}
+        for s in self.manifest.segments:
+            out[s.level] = out.get(s.level, 0) + s.bytes
+        return out
+
     def _maybe_flush(self) -> None:
         if self.auto_flush is False or self._tx is not None or self._compacting:
             return
@@ -462,7 +473,7 @@ class Store:
         try:
             if self.manifest.log:
                 folded = fold.fold(
-                    fold.committed(self.log()), F.struct("seq", "ord"), ["seq", "ord", *_CARRY], tombstones=True
+                    self._committed(), F.struct("seq", "ord"), ["seq", "ord", *_CARRY], tombstones=True
                 )
                 old = self.manifest.log
                 new = self._write_run(folded, 0)
@@ -632,6 +643,8 @@ def _aliases() -> None:
     for name in [n for n in vars(Store) if "_" in n and not n.startswith("_") and not n.endswith("_")]:
         head, *rest = name.split("_")
         setattr(Store, head + "".join(x.capitalize() for x in rest), getattr(Store, name))
+    for name, attribute in (("keyType", "key_type"), ("memoryCache", "memory_cache")):
+        setattr(Store, name, property(lambda self, a=attribute: getattr(self, a)))
     setattr(Store, "del", Store.delete)
     setattr(Batch, "del", Batch.delete)
 
