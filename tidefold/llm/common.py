@@ -151,17 +151,19 @@ def cut_lineage(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the cluster's shared checkpoint folder and read it.
 
     The folder is ``spark.checkpoint.dir``; where that is unset, a temporary one
-    is made (single-machine tests only).
+    is made (single-machine tests only). The table goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(own)
     return spark.read.schema(schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not hasattr(shared_folder, "local"):
@@ -193,7 +195,7 @@ def drop_folder(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def connected(edges: DataFrame, vertices: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over ``edges`` (a, b).
 
     Alternating large-star and small-star steps; each is a grouped minimum, so a
@@ -204,7 +206,7 @@ def connected(edges: DataFrame, vertices: DataFrame, rounds: int = 60) -> DataFr
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     last = None
-    for _ in range(rounds):
+    while True:
         # Large-star: every larger neighbour of u is linked to u's smallest neighbour.
         both = cur.select("a", "b").union(cur.select(F.col("b"), F.col("a")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
