@@ -296,3 +296,19 @@ def keep_first(docs: DataFrame, components: DataFrame) -> DataFrame:
     kept = components.where("doc_id = component_id").select("doc_id").distinct()
     first = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return first.select(*docs.columns).union(docs.where("doc_id is null"))
+
+
+#: The registered query in DuckDB: all pairs with a common shingle, and what they reach.
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= {SHINGLE} THEN list_transform(range(1, len(ws) - {SHINGLE - 2}),
+        lambda i: array_to_string(ws[i:i + {SHINGLE - 1}], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS own FROM d),
+u AS (SELECT doc_id, len(own) AS n, unnest(own) AS w FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.w = b.w AND a.doc_id < b.doc_id
+        AND least(a.n, b.n) * {DENOMINATOR} >= greatest(a.n, b.n) * {NUMERATOR}
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING {DENOMINATOR} * count(*) >= {NUMERATOR} * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT doc_id, CAST(len(own) AS BIGINT) AS n_shingles, min(b) AS component_id FROM s JOIN r ON r.a = doc_id GROUP BY doc_id, own
+"""

@@ -221,7 +221,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         ["phrase", "c1", "c2", "doc_id"],
         "left_semi",
     )
-    parts = open_.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("parts"))
+    parts = cut_lineage(open_.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("parts")))
+    free_shuffles(spark)
     texts = docs.join(parts.hint("merge"), "doc_id")
 
     def run(cols):
@@ -261,7 +262,9 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     cols = docs.select("doc_id", "text")
     found = repeated_windows(cols.where("doc_id is not null"), window)
-    per_doc = found.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts"))
+    # Texts are shuffled on their own, after the shuffles that lead here are gone.
+    per_doc = cut_lineage(found.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts")))
+    free_shuffles(docs.sparkSession)
     joined = cols.join(per_doc.hint("merge"), "doc_id", "left")
 
     def run(cols):
@@ -298,3 +301,18 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def digests(deduped: DataFrame) -> DataFrame:
     """The registered query's columns."""
     return deduped.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: The registered query in DuckDB: every window by its digest.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 48), lambda i: md5(array_to_string(ws[i:i + 49], ' ')))) AS h,
+        unnest(range(1, len(ws) - 48)) AS i FROM d),
+f AS (SELECT h, min(doc_id) AS least FROM x GROUP BY h),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM x JOIN f USING (h) WHERE least < doc_id),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+k AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.p) FILTER (c.p IS NULL) AS kept, count(c.p) AS n
+        FROM w LEFT JOIN c ON c.doc_id = w.doc_id AND c.p = w.p GROUP BY w.doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
