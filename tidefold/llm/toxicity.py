@@ -12,7 +12,6 @@ from the worst window of each, and from one more window of each clean text.
 from __future__ import annotations
 
 import re
-import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,7 +25,7 @@ WINDOW, STRIDE = 64, 32
 HIDDEN, WORD_DIM, CHAR_DIM, WORD_ROWS, CHAR_ROWS = 8, 6, 6, 1 << 14, 1 << 15
 PER_CLASS, EPOCHS, BATCH, RATE, SEED = 1000, 12, 64, 0.01, 7
 LEAST = 4  # sampled texts that must have a word or n-gram before it is learnt
-TEXT_BYTES = 8_000_000  # text that a Python worker takes at a time
+TEXT_BYTES = 4_000_000  # text that a Python worker takes at a time
 LONGEST = 24  # characters of an input word; longer ones enter as several
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -52,7 +51,7 @@ def word_inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for n in range(2, 6):
         h = h[:-1] * _MULTIPLIER + c[n - 1 :] if len(h) > 1 else h[:0]
         if n > 2:
-            own = np.zeros(len(c), np.int64)
+            own = np.zeros(len(c), np.int32)
             own[: len(h)] = (h * _MULTIPLIER >> np.uint64(40)) % np.uint64(CHAR_ROWS)
             rows.append(own)
             fits.append(room >= n)
@@ -115,7 +114,6 @@ class Network:
     p: dict[str, np.ndarray] = field(default_factory=dict)
     shift: float = 0.0
     constant: float | None = None  # where there was nothing to learn from
-    token: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @classmethod
     def fresh(cls, seed: int = SEED) -> Network:
@@ -209,7 +207,7 @@ class Network:
 class Scorer:
     """Scores texts; keeps the gate inputs of the words it has met."""
 
-    def __init__(self, net: Network, limit: int = 200_000):
+    def __init__(self, net: Network, limit: int = 120_000):
         self.net, self.limit = net, limit
         self._clear()
 
@@ -254,7 +252,7 @@ class Scorer:
             ids.append(_window_ids(self.inputs.ids(words)))
             at.append(k)
             waiting += len(ids[-1])
-            if waiting >= 16_384 or len(self.inputs) > self.limit:
+            if waiting >= 8_192 or len(self.inputs) > self.limit:
                 flush()
                 at, ids, waiting = [], [], 0
                 if len(self.inputs) > self.limit:
@@ -274,7 +272,7 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = EPOCH
     own = [_window_ids(inputs.ids(w)) for w, _ in docs]
     rows, grams, ends = inputs.take_new()
     # Index 0 is padding: a word with one n-gram row that is never read.
-    rows, grams, ends = np.append(0, rows), np.append(0, grams), np.append(1, ends + 1)
+    rows, grams, ends = np.append(0, rows), np.append(np.int32(0), grams), np.append(1, ends + 1)
     starts = np.concatenate([[0], ends[:-1]])
     learns = _start_from_odds(net, own, y, rows, grams, starts, ends)
     all_ids, first = np.concatenate(own), np.cumsum([0] + [len(x) for x in own])
@@ -282,8 +280,7 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = EPOCH
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     step = 0
     for epoch in range(epochs + 1):
-        x = net.embed(rows, grams, ends)
-        gates = {k: net.project(x, k) for k in "fb"}
+        gates = _all_gates(net, rows, grams, starts, ends)
         logit = np.concatenate([net.run(gates, all_ids[k : k + 4096]) for k in range(0, len(all_ids), 4096)])
         worst = np.array([a + int(np.argmax(logit[a:b])) for a, b in zip(first[:-1], first[1:])])
         if epoch == epochs:
@@ -317,6 +314,17 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = EPOCH
     return net
 
 
+def _all_gates(net, rows, grams, starts, ends) -> dict[str, np.ndarray]:
+    """Gate inputs of all words, some thousands at a time."""
+    out = {k: np.empty((len(rows), 3 * HIDDEN), np.float32) for k in "fb"}
+    for a in range(0, len(rows), 20_000):
+        b = min(a + 20_000, len(rows))
+        x = net.embed(rows[a:b], grams[starts[a] : ends[b - 1]], ends[a:b] - starts[a])
+        for k in "fb":
+            out[k][a:b] = net.project(x, k)
+    return out
+
+
 def _start_from_odds(net, own, y, rows, grams, starts, ends) -> dict[str, np.ndarray]:
     """First embedding column: smoothed log odds of a word or n-gram among toxic texts.
 
@@ -375,17 +383,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Netwo
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], share)
 
 
-_LAST: dict[str, Scorer] = {}
-
-
-def _scorer_of(net: Network) -> Scorer:
-    """The Python worker's scorer of this network; that of another one is let go."""
-    if net.token not in _LAST:
-        _LAST.clear()
-        _LAST[net.token] = net.scorer()
-    return _LAST[net.token]
-
-
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id, held_out, score and predicted of every row.
 
@@ -393,8 +390,12 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     doc_id and text are read, and doc_id plays no part in the score.
     """
 
+    held: list[Scorer] = []  # the task's scorer, gone with the task
+
     def run(cols):
-        s = _scorer_of(net).scores(cols["text"].to_pylist())
+        if not held:
+            held.append(net.scorer())
+        s = held[0].scores(cols["text"].to_pylist())
         return {"doc_id": cols["doc_id"], "score": s, "predicted": (s >= 0.5).astype(np.int32)}
 
     out = map_batches(docs.select("doc_id", "text"), run, "doc_id long, score double, predicted int", TEXT_BYTES)
@@ -404,8 +405,12 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 def reject(docs: DataFrame, net: Network) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
 
+    held: list[Scorer] = []
+
     def run(piece):
+        if not held:
+            held.append(net.scorer())
         texts = piece.column(piece.schema.get_field_index("text")).to_pylist()
-        return piece.filter(pa.array(_scorer_of(net).scores(texts) < 0.5))
+        return piece.filter(pa.array(held[0].scores(texts) < 0.5))
 
     return map_same(docs, run, TEXT_BYTES)
