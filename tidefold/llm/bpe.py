@@ -65,7 +65,7 @@ class BacktrackingBpe:
         key = (left, right)
         known = self.pair_memo.get(key)
         if known is None:
-            if len(self.pair_memo) > 1_000_000:
+            if len(self.pair_memo) > 400_000:
                 self.pair_memo.clear()
             a, b = self.table[left], self.table[right]
             known = self.pair_memo[key] = self._merged(a + b) == [a, b]
