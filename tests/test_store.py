@@ -134,9 +134,8 @@ def test_null_keys_in_a_batch_leave_nothing(spark, folder):
 
 @pytest.mark.parametrize("mode", ["string", "int", "float", "buffer", "any"])
 def test_random_script_matches_a_dict(spark, folder, mode, monkeypatch):
-    monkeypatch.setattr(compact, "SEGMENT_BYTES", 300)
-    monkeypatch.setattr(compact, "LEVEL_MB", 0)  # every level is over its limit but the last
-    monkeypatch.setattr(compact, "level_limit", lambda level: 3000 if level < 2 else 10**9)
+    monkeypatch.setattr(compact, "SEGMENT_BYTES", 15_000)
+    monkeypatch.setattr(compact, "level_limit", lambda level, base: 20_000 if level < 1 else 10**9)
     make = {
         "string": lambda n: f"k{n:03d}",
         "int": lambda n: n,
@@ -224,8 +223,8 @@ def test_names_of_the_interface(spark, folder):
 
 def test_large_values_survive_waves_of_compaction(spark, folder, monkeypatch):
     """Newest version, deletes and counts after restarts between waves of wide values."""
-    monkeypatch.setattr(compact, "SEGMENT_BYTES", 40_000)
-    monkeypatch.setattr(compact, "level_limit", lambda level: 10_000 * 10**level)
+    monkeypatch.setattr(compact, "SEGMENT_BYTES", 15_000)
+    monkeypatch.setattr(compact, "level_limit", lambda level, base: 5_000 if level == 0 else 10**9)
     frame = lambda keys, tag: spark.createDataFrame([(k, tag + "x" * 3000) for k in keys], "key long, value string")
     with Store(spark, folder, key="int", auto_flush=False) as s:
         s.put_many(frame(range(80), "v1"))

@@ -35,6 +35,8 @@ class Store:
     ``key`` is the key mode; it is kept in the manifest and another mode is
     refused. ``cache`` persists the folded view. ``auto_flush`` is the size of
     the log in MB beyond which a write flushes it; False never does.
+    ``segment_bytes`` is the size of a segment file and ``level_mb`` what level 0
+    holds in MB; each level below holds ten times as much. Raise both for large tables.
     One writer at a time: opening takes a lock file, ``force`` breaks a stale one.
     """
 
@@ -48,8 +50,12 @@ class Store:
         cache: bool = False,
         auto_flush: float | bool = 2,
         force: bool = False,
+        segment_bytes: int | None = None,
+        level_mb: float | None = None,
     ):
         K.key_type(key)
+        self.segment_bytes = segment_bytes or compact.SEGMENT_BYTES
+        self.level_mb = level_mb or compact.LEVEL_MB
         self.spark, self.path, self.key_type, self.memory_cache, self.auto_flush = spark, path.rstrip("/"), key, cache, auto_flush
         self.events, self._folder = Events(), Folder(spark, path)
         self._open, self._compacting, self._tx = False, False, None
@@ -476,7 +482,7 @@ class Store:
                     self._committed(), F.struct("seq", "ord"), ["seq", "ord", *_CARRY], tombstones=True
                 )
                 old = self.manifest.log
-                new = self._write_run(folded, 0)
+                new = self._write_run(folded, 0, sum(self._folder.size(f"log/{n}") for n in old))
                 self._commit(self.manifest.changed(log=[], segments=[*self.manifest.segments, *new], next_segment=self._next))
                 for n in old:
                     self._folder.delete(f"log/{n}")
@@ -495,21 +501,12 @@ class Store:
             self._merge(self.manifest.segments, max(1, deepest))
             self._forget()
 
-    def _write_run(self, rows: DataFrame, level: int) -> list[M.Segment]:
-        """Write folded records as key-sorted files of about SEGMENT_BYTES; describes them."""
-        size = F.coalesce(F.length("value"), F.octet_length("data"), F.lit(0)) + 16
-        rows = rows.select(*L.segment_schema(self.key_type).names).persist()
-        try:
-            total = rows.agg(F.sum(size)).first()[0]
-            if not total:
-                self._next = self.manifest.next_segment
-                return []
-            n = max(1, -(-int(total) // compact.SEGMENT_BYTES))
-            folder = f"segments/L{level}-{uuid.uuid4().hex}"
-            cut = rows.repartitionByRange(int(n), "key").sortWithinPartitions("key")
-            cut.write.option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.path}/{folder}")
-        finally:
-            rows.unpersist()
+    def _write_run(self, rows: DataFrame, level: int, size: int) -> list[M.Segment]:
+        """Write folded records as key-sorted files and describe them; ``size`` is that of their sources."""
+        n = max(1, -(-size // self.segment_bytes))
+        folder = f"segments/L{level}-{uuid.uuid4().hex}"
+        cut = rows.select(*L.segment_schema(self.key_type).names).repartitionByRange(int(n), "key").sortWithinPartitions("key")
+        cut.write.option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.path}/{folder}")
         names = sorted(x for x in self._folder.names(folder) if x.endswith(".parquet"))
         done = L.read_segments(self.spark, [f"{self.path}/{folder}"], self.key_type)
         stats = {
@@ -530,7 +527,7 @@ class Store:
         """Move one segment of the first level above its limit down; False if none is."""
         for level in range(max((s.level for s in self.manifest.segments), default=-1) + 1):
             own = self.manifest.at_level(level)
-            if sum(s.bytes for s in own) <= compact.level_limit(level):
+            if sum(s.bytes for s in own) <= compact.level_limit(level, self.level_mb):
                 continue
             if level == 0:
                 # Level 0 runs overlap: the oldest goes, with older ones it overlaps (none).
@@ -551,7 +548,7 @@ class Store:
         # A tombstone stays while any other segment below may hold an older record of its key.
         deeper = [s for s in self.manifest.segments if s.id not in gone and s.level >= level and any(_overlap(s, i) for i in inputs)]
         older = L.read_segments(self.spark, [f"{self.path}/{s.file}" for s in deeper], self.key_type) if deeper else None
-        new = self._write_run(compact.purge(state, older), level)
+        new = self._write_run(compact.purge(state, older), level, sum(s.bytes for s in inputs))
         kept = [s for s in self.manifest.segments if s.id not in gone]
         self._commit(self.manifest.changed(segments=[*kept, *new], next_segment=self._next, cursors=cursors or self.manifest.cursors))
         self._vacuum()
