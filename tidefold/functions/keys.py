@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import messages
+
 MODES = ("string", "int", "float", "buffer", "any")
 ANY = T.StructType(
     [
@@ -76,7 +78,7 @@ def python_key(value, mode: str):
     Raises ValueError for None and, where order needs a number, for NaN.
     """
     if value is None:
-        raise ValueError("Key can't be null or undefined!")
+        raise ValueError(messages.NULL_KEY)
     if isinstance(value, bytearray | memoryview):
         value = bytes(value)
     if mode == "string":

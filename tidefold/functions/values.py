@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import messages
 from .keys import encode
 
 #: Type tags of stored values.
@@ -48,4 +49,4 @@ def check_value(value) -> tuple[str | None, bytes | None, int]:
         return value, None, TEXT
     if isinstance(value, bytes | bytearray | memoryview):
         return None, bytes(value), DATA
-    raise ValueError("Write Error: Data must be a string or Buffer!")
+    raise ValueError(messages.BAD_VALUE)

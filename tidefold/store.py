@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import messages
 from .events import Events
 from .functions import keys as K
 from .functions.values import check_value
@@ -343,7 +344,7 @@ class Store:
         out = []
         for n, (op, key, value) in enumerate(ops):
             if key is None:
-                raise ValueError("Write Error: Key can't be null or undefined!")
+                raise ValueError(messages.NULL_KEY)
             text, data, _ = check_value(value) if op == fold.PUT else (None, None, 0)
             out.append((n, op, K.python_key(key, self.key_type), text, data))
         return out
@@ -365,7 +366,7 @@ class Store:
         self._check()
         kind = rows.schema["value"].dataType
         if not isinstance(kind, T.StringType | T.BinaryType):
-            raise ValueError("Write Error: Data must be a string or Buffer!")
+            raise ValueError(messages.BAD_VALUE)
         text = isinstance(kind, T.StringType)
         key = K.normalize(F.col("key"), self.key_type, rows.schema["key"].dataType)
         op = F.col("op") if "op" in rows.columns else F.lit(fold.PUT)
@@ -373,8 +374,8 @@ class Store:
         frame = rows.select(
             (F.col("ord").cast("long") if "ord" in rows.columns else F.monotonically_increasing_id()).alias("ord"),
             op.alias("op"),
-            refuse(F.col("key").isNull(), "Write Error: Key can't be null or undefined!", key).alias("key"),
-            refuse((op == fold.PUT) & F.col("value").isNull(), "Write Error: Data must be a string or Buffer!", F.col("value") if text else F.lit(None).cast("string")).alias("value"),
+            refuse(F.col("key").isNull(), messages.NULL_KEY, key).alias("key"),
+            refuse((op == fold.PUT) & F.col("value").isNull(), messages.BAD_VALUE, F.col("value") if text else F.lit(None).cast("string")).alias("value"),
             (F.lit(None).cast("binary") if text else F.col("value")).alias("data"),
         )
         self._publish(frame, self._tx)
@@ -398,7 +399,7 @@ class Store:
     def start_tx(self) -> int:
         self._check()
         if self._tx is not None:
-            raise RuntimeError("Can't do nested transactions, finish the current one first!")
+            raise RuntimeError(messages.NESTED_TX)
         self._tx, self._tx_thread = self.manifest.next_tx, threading.get_ident()
         self._commit(self.manifest.changed(next_tx=self._tx + 1))
         self.events.trigger("tx-start", self._tx)
@@ -443,7 +444,7 @@ class Store:
             return Batch(self)
         with self._tx_over:
             if self._tx is not None and self._tx_thread == threading.get_ident():
-                raise RuntimeError("Can't do nested transactions, finish the current one first!")
+                raise RuntimeError(messages.NESTED_TX)
             if not self._tx_over.wait_for(lambda: self._tx is None, wait):
                 raise TimeoutError("a transaction is still open")
             own = [(o["type"], o.get("key"), o.get("value", "")) for o in ops if o.get("type") in (fold.PUT, fold.DELETE)]
@@ -471,7 +472,7 @@ class Store:
         """Turn the log into level-0 segments, then compact."""
         self._check()
         if self._compacting:
-            raise RuntimeError("Already compacting!")
+            raise RuntimeError(messages.COMPACTING)
         if self._tx is not None:
             raise RuntimeError("a transaction is open")
         self._compacting = True
