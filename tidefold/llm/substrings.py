@@ -247,7 +247,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     each = cut_lineage(map_batches(texts.select("doc_id", "text", "parts"), run, "w1 long, w2 long, doc_id long, at int", TEXT_BYTES))
     free_shuffles(spark)
     least = each.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    some = each.join(least.drop("most").hint("merge"), ["w1", "w2"]).where("least < doc_id").select(
+    # Written first, so that the join has no aggregate below it and a common window can be split.
+    least = cut_lineage(least.drop("most"))
+    some = each.join(least.hint("merge"), ["w1", "w2"]).where("least < doc_id").select(
         "doc_id", F.col("at").alias("lo"), F.col("at").alias("hi")
     )
     return done.union(some)
