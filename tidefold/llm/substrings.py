@@ -211,11 +211,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     free_shuffles(spark)
     whole = near.groupBy("phrase", "c1", "c2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     whole = cut_lineage(whole)
-    per_phrase = whole.groupBy("phrase").agg(F.count("*").alias("kinds"))
+    per_phrase = cut_lineage(whole.groupBy("phrase").agg(F.count("*").alias("kinds")).where("kinds > 1").select("phrase"))
     named = near.join(whole.where("least < most").drop("most").hint("merge"), ["phrase", "c1", "c2"], "left")
     done = named.where("least < doc_id").select("doc_id", "lo", "hi")
     # A stretch's first document may share part of it with other stretches of its phrase.
-    first = whole.join(per_phrase.where("kinds > 1").select("phrase").hint("merge"), "phrase", "left_semi")
+    first = whole.join(per_phrase.hint("merge"), "phrase", "left_semi")
     open_ = near.join(
         first.select("phrase", "c1", "c2", F.col("least").alias("doc_id")).hint("merge"),
         ["phrase", "c1", "c2", "doc_id"],
