@@ -10,6 +10,8 @@ from tidefold.llm.common import cut_lineage, table
 from tidefold.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near copies: words to a shingle and similarity as a fraction. op5's own values bind only that query.
+SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +21,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest doc_id stays."""
-    return jaccard.keep_first(docs, jaccard.join_components(docs)).select(*COLUMNS)
+    """Of each group of documents linked at 0.8 or more of five-word shingles the one of the smallest doc_id stays."""
+    groups = jaccard.join_components(docs, SHINGLE, NUMERATOR, DENOMINATOR)
+    return jaccard.keep_first(docs, groups).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

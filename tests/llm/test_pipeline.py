@@ -98,6 +98,44 @@ def test_stages(spark, tables):
     assert coded == sorted(want)
 
 
+def test_near_copies_go_at_five_words_and_four_fifths(spark):
+    rng = random.Random(5)
+    docs = []
+    for size in (6, 12, 40, 150, 500):
+        for _ in range(4):
+            w = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+            for cut in (0.03, 0.09, 0.1, 0.12, 0.17, 0.2, 0.24):
+                n = int(size * cut)
+                a = rng.randrange(size - n + 1)
+                docs.append([*w[:a], *(f"e{rng.randrange(10**6)}" for _ in range(n)), *w[a + n :]])
+                docs.append([*w, *(f"a{rng.randrange(10**6)}" for _ in range(n))])
+            docs.append(w)
+    rng.shuffle(docs)
+
+    def kept(words, num):
+        """Ids of the smallest document of each component, all pairs of one base compared."""
+        sets = [{tuple(d[k : k + words]) for k in range(max(1, len(d) - words + 1))} for d in docs]
+        up = list(range(len(docs)))
+
+        def root(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                both = len(x & y)
+                if 100 * both >= num * (len(x) + len(y) - both):
+                    p, q = sorted((root(i), root(j)))
+                    up[q] = p
+        return {i for i in up if up[i] == i}
+
+    assert kept(5, 80) < kept(4, 85)
+    table = [(i, " ".join(d), "en", "a", 0) for i, d in enumerate(docs)]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in P.keep_one_of_near_copies(spark, df, "").collect()} == kept(5, 80)
+
+
 def test_run_gives_what_the_stages_give(spark, tables):
     assert P.run(spark, tables).count() > 100
 
