@@ -11,7 +11,6 @@ import base64
 import bisect
 import hashlib
 import re
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,8 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 TEXT_BYTES = 8_000_000
 #: The method's own parameters.
 MIN_RANDOM, MAX_RATIO = 16, 2.2
+#: Separators that belong to no secret at the ends of a run.
+EDGES = "-/_+"
 DIGEST_CHARS = {32, 40, 56, 64, 96, 128}
 
 _HEX = np.zeros(256, bool)
@@ -102,7 +103,7 @@ def scan_batch(texts: list[str | None], encode) -> list[list[tuple[int, int, int
     place(*_runs(data, _HEX, MIN_HEX), 2, None)
 
     def is_random(s: str) -> bool:
-        s = s.strip("-/_+")
+        s = s.strip(EDGES)
         mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s) or (
             any(c.islower() for c in s) and any(c.isupper() for c in s[1:])
         )
@@ -116,13 +117,23 @@ def scan_batch(texts: list[str | None], encode) -> list[list[tuple[int, int, int
             spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= MIN_ASSIGN]
         if "AKIA" in t:
             spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(t) if len(m[0]) >= MIN_ACCESS]
-        # The method only adds: what a base span covers already is not listed again.
-        base = sorted((s, e) for s, k, e in spans if k < 3)
-        reach = list(accumulate((e for _, e in base), max))
+        # The method only adds: what base spans cover whole, but for separators, is not listed again.
+        base = []
+        for a, b in sorted((s, e) for s, k, e in spans if k < 3):
+            if base and a <= base[-1][1]:
+                base[-1][1] = max(base[-1][1], b)
+            else:
+                base.append([a, b])
 
         def covered(s: int, e: int) -> bool:
-            at = bisect.bisect_left(base, (e, 0))
-            return at > 0 and reach[at - 1] > s
+            for at in range(max(bisect.bisect_right(base, [s]) - 1, 0), len(base)):
+                a, b = base[at]
+                if a >= e:
+                    break
+                if t[s:a].strip(EDGES):
+                    return False
+                s = max(s, b)
+            return not t[s:e].strip(EDGES)
 
         spans[:] = sorted(x for x in spans if x[1] < 3 or not covered(x[0], x[2]))
     return out
