@@ -2,14 +2,16 @@
 
 Each source is one long run of words (documents in a fixed pseudorandom order),
 cut into blocks of BLOCK words. The mix is a row of slots dealt into output
-shards. Each shard draws how many of its slots every source gets: multinomial
-counts, conditioned on the sources' totals, so that the totals are met exactly.
-They are drawn down a binary tree of shards, from the root to the shard, each
-node with a seed of its own; any task can so find its shard's counts and where
-each source's slots begin, without the other shards. Slot k of a source maps
-through a pseudorandom permutation of the source's block indices, one
-permutation for each pass over the source, and (source, block index) is joined
-with the blocks.
+shards. Each source's slots fall to the shards in multinomial counts, so that
+the sources' totals are met exactly and a shard has SHARD_SLOTS slots but for
+chance. The counts are drawn as binomials down a binary tree of shards, from the
+root to the shard, each node with a seed of its own and whatever the number of
+slots; any task can so find its shard's counts and where each source's slots
+begin, without the other shards. Slot k of a source maps through a pseudorandom
+permutation of the source's block indices, one permutation for each pass over
+the source, and (source, block index) is joined with the blocks. The last slot
+of a source takes only the first words of its block, so that a source gives its
+target to the word, however few words it has.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -31,7 +33,8 @@ WEIGHTS, MOST = (5, 2, 1), 3
 BLOCK, SHARD_SLOTS, CHUNK_ROWS, SEED = 128, 8192, 1000, 20_240_229
 #: Text that a Python worker takes at a time.
 TEXT_BYTES = 8_000_000
-_DRAW_LIMIT = 900_000_000
+#: Chunks whose sizes are summed together before the running sum of a source.
+_SUPER = 4096
 _BROADCAST_ROWS = 10_000
 
 
@@ -75,25 +78,12 @@ def permuted(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def _split(colors: np.ndarray, left: int, total: int, seed: int, node: int) -> np.ndarray:
-    """Slots of each source that fall to the left child."""
-    if total < _DRAW_LIMIT:
-        return np.random.default_rng([seed, node]).multivariate_hypergeometric(colors, left)
-    exact = colors * (left / total)
-    out = np.floor(exact).astype(np.int64)
-    short = left - int(out.sum())
-    out[np.argsort(out - exact, kind="stable")[:short]] += 1
-    return out
-
-
 def shard_counts(slots: np.ndarray, shard: int, shards: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """(first slot, count) of each source in one output shard."""
-    total = int(slots.sum())
-    bound = lambda s: s * total // shards
     first, colors, lo, hi, node = np.zeros_like(slots), slots, 0, shards, 1
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        left = _split(colors, bound(mid) - bound(lo), bound(hi) - bound(lo), seed, node)
+        left = np.random.default_rng([seed, node]).binomial(colors, (mid - lo) / (hi - lo))
         if shard < mid:
             colors, hi, node = left, mid, 2 * node
         else:
@@ -101,18 +91,48 @@ def shard_counts(slots: np.ndarray, shard: int, shards: int, seed: int = SEED) -
     return first, colors
 
 
+def slots_of(size: int, target: float) -> tuple[int, int, int]:
+    """(slots, words of the last one, whole passes) of a source of ``size`` words.
+
+    Whole passes take all blocks; the rest takes whole blocks of BLOCK words and
+    at last a part of one. Together they hold ``target`` words, rounded.
+    """
+    if not size:
+        return 0, 0, 0
+    passes, rest = divmod(round(target), size)
+    if not rest:
+        return passes * -(-size // BLOCK), BLOCK, passes
+    return passes * -(-size // BLOCK) + -(-rest // BLOCK), (rest - 1) % BLOCK + 1, passes
+
+
+def blocks_at(k: np.ndarray, size: np.ndarray, passes: np.ndarray, key: np.ndarray, most: int = MOST) -> np.ndarray:
+    """Block index of slot ``k`` of a source, elementwise; ``key`` is the source's number.
+
+    A pass after the whole ones permutes the full blocks only; the short one at a
+    source's end comes last in it.
+    """
+    n = -(-size // BLOCK)
+    turn = k // n
+    over = np.where(turn >= passes, size // BLOCK, n)
+    at = k % n
+    last = at >= over
+    key = mix64((key * np.int64(most + 1) + turn).astype(np.uint64), np.uint64(SEED))
+    return np.where(last, at, permuted(np.where(last, 0, at), np.maximum(over, 1), key))
+
+
 def _with_blocks(docs: DataFrame, weights, most, seed) -> tuple[DataFrame, DataFrame, list[dict]]:
-    """(rows with sid, at, size; (sid, block) -> times; the plan per source).
+    """(rows with sid, at, size; (sid, block) -> times, part; the plan per source).
 
-    ``at`` is a row's first word in its source; (sid, at) is unique among rows with words.
+    ``at`` is a row's first word in its source; (sid, at) is unique among rows with
+    words. ``part`` is the number of words that a slot cut short takes of a block.
     """
     spark = docs.sparkSession
     stat = docs.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
     stat.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["size"]) for r in stat]
     goal = targets(sizes, weights, most)
-    blocks = [-(-s // BLOCK) for s in sizes]
-    slots = np.array([min(most * b, round(t * b / s)) if s else 0 for s, b, t in zip(sizes, blocks, goal)], np.int64)
+    cut = [slots_of(s, t) for s, t in zip(sizes, goal)]
+    slots, ends, passes = np.array(cut, np.int64).reshape(-1, 3).T
     plan = spark.createDataFrame(
         [(k, r["source"], s, t) for k, (r, s, t) in enumerate(zip(stat, sizes, goal))],
         "sid int, name string, source_size long, target double",
@@ -123,15 +143,21 @@ def _with_blocks(docs: DataFrame, weights, most, seed) -> tuple[DataFrame, DataF
     own = docs.join(plan, docs["source"].eqNullSafe(plan["name"])).drop("name").withColumn(
         "chunk", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(chunks))
     )
-    starts = own.groupBy("sid", "chunk").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("sid", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    # Running sums of chunks in two steps, so that no task has all chunks of a source.
+    starts = own.groupBy("sid", "chunk").agg(F.sum("size").alias("n")).withColumn("super", F.floor(F.col("chunk") / _SUPER))
+    starts = cut_lineage(starts) if chunks > _SUPER else starts
+    prior = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = starts.groupBy("sid", "super").agg(F.sum("n").alias("n"))
+    sums = sums.select("sid", "super", F.coalesce(F.sum("n").over(prior("sid", "super")), F.lit(0)).alias("base"))
+    within = F.coalesce(F.sum("n").over(prior("sid", "super", "chunk")), F.lit(0))
+    starts = starts.withColumn("within", within).join(sums.hint("merge"), ["sid", "super"])
+    starts = starts.select("sid", "chunk", (F.col("base") + F.col("within")).alias("start"))
+    inside = prior("sid", "chunk", F.struct("doc_id", "size", "tie"))
     own = own.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = own.join(starts.hint("merge"), ["sid", "chunk"]).withColumn("at", F.col("start") + F.col("inside")).drop("chunk", "inside", "start", "tie")
 
     n_shards = max(1, int(slots.sum()) // SHARD_SLOTS)
-    n_blocks = np.array(blocks, np.int64)
+    n_words = np.array(sizes, np.int64)
 
     def deal(batches):
         for batch in batches:
@@ -141,24 +167,31 @@ def _with_blocks(docs: DataFrame, weights, most, seed) -> tuple[DataFrame, DataF
                 if not len(sid):
                     continue
                 k = np.arange(len(sid)) - np.repeat(np.cumsum(count) - count, count) + first[sid]
-                n = n_blocks[sid]
-                key = mix64((sid * np.int64(most) + k // n).astype(np.uint64), np.uint64(seed))
-                block = permuted(k % n, n, key)
+                block = blocks_at(k, n_words[sid], passes[sid], sid, most)
+                words = np.where(k == slots[sid] - 1, ends[sid], BLOCK)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sid, pa.int32()), pa.array(block, pa.int64())], names=["sid", "block"]
+                    [pa.array(sid, pa.int32()), pa.array(block, pa.int64()), pa.array(words, pa.int32())], names=["sid", "block", "words"]
                 )
 
-    dealt = spark.range(0, n_shards, 1, min(n_shards, 4096)).mapInArrow(deal, "sid int, block long")
-    times = dealt.groupBy("sid", "block").agg(F.count("*").alias("times"))
+    dealt = spark.range(0, n_shards, 1, min(n_shards, 4096)).mapInArrow(deal, "sid int, block long, words int")
+    whole = F.col("words") == BLOCK
+    times = dealt.groupBy("sid", "block").agg(
+        F.count(F.when(whole, 1)).alias("times"), F.coalesce(F.max(F.when(~whole, F.col("words"))), F.lit(0)).alias("part")
+    )
     return rows, times, [r.asDict() for r in stat]
 
 
 def _pieces(rows: DataFrame) -> DataFrame:
-    """A row for each block that a document has words of: sid, at, block, words."""
+    """A row for each block that a document has words of: sid, at, size, block."""
     block = F.explode(F.sequence(F.floor(F.col("at") / BLOCK), F.floor((F.col("at") + F.col("size") - 1) / BLOCK)))
     cut = rows.where("size > 0").select("sid", "at", "size", block.alias("block"))
-    words = F.least((F.col("block") + 1) * BLOCK, F.col("at") + F.col("size")) - F.greatest(F.col("block") * BLOCK, "at")
-    return cut.select("sid", "at", "block", words.alias("words"))
+    return cut.select("sid", "at", "size", "block")
+
+
+def _overlap(words) -> Column:
+    """Words of a document among the first ``words`` of a block."""
+    first = F.col("block") * BLOCK
+    return F.greatest(F.least(first + words, F.col("at") + F.col("size")) - F.greatest(first, "at"), F.lit(0))
 
 
 def count_words(text: str = "text"):
@@ -168,8 +201,11 @@ def count_words(text: str = "text"):
 def mix_report(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row.
 
-    Null texts have size 0 and nothing is taken of them; repeated rows are
-    documents of their own; a null source is a source, last in order.
+    A source's taken words add up to its target, rounded. Null and empty texts
+    have size 0 and nothing is taken of them; repeated rows are documents of their
+    own; a null source is a source, last in order. An empty table gives no rows.
+    A long text is one row that lies in many blocks. Other columns of ``docs``,
+    whatever their names, are left out.
     """
     sized = cut_lineage(docs.select("doc_id", "source", count_words().alias("size")).withColumn("tie", F.lit(0)))
     rows, times, _ = _with_blocks(sized, weights, most, seed)
@@ -178,7 +214,7 @@ def mix_report(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = S
         _pieces(rows)
         .join(times.hint("merge"), ["sid", "block"])
         .groupBy("sid", "at")
-        .agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+        .agg(F.sum(_overlap(F.lit(BLOCK)) * F.col("times") + _overlap(F.col("part"))).alias("taken"))
     )
     # A row without words may share its place with the next one.
     return rows.join(
@@ -191,7 +227,10 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int
 
     A document is returned once for each pass that takes words of it, with the
     words of the blocks taken; a document taken whole keeps its text as it is.
-    ``n_chars``, if there, is set to the new length.
+    Documents without words, null texts among them, are in no block and so not in
+    the mix. ``n_chars``, if there, is set to the new length. Repeated rows are
+    taken on their own; an empty table gives an empty mix; the words of a long
+    text are cut at block ends. Other columns are kept under their names.
     """
     names = docs.columns
     packed = docs.select(
@@ -204,7 +243,7 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int
         _pieces(rows)
         .join(times.hint("merge"), ["sid", "block"])
         .groupBy("sid", "at")
-        .agg(F.collect_list(F.struct("block", "times")).alias("taken"))
+        .agg(F.collect_list(F.struct("block", "times", "part")).alias("taken"))
     )
     parts = rows.join(parts.hint("merge"), ["sid", "at"]).select("doc_id", "size", "tag", "at", "taken")
     # Rows that are alike in all of this differ in no way that matters: any of them may have any place.
@@ -221,9 +260,12 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int
             rows, texts = [], []
             texts_in, sizes, firsts, taken = (piece.column(k).to_pylist() for k in range(1, 5))
             for k, (n, first, t, own) in enumerate(zip(sizes, firsts, texts_in, taken)):
-                own, words = sorted((x["block"], x["times"]) for x in own), None
-                for p in range(1, max(x for _, x in own) + 1):
-                    spans = [(max(b * BLOCK - first, 0), min((b + 1) * BLOCK - first, n)) for b, x in own if x >= p]
+                own, words = sorted((x["block"] * BLOCK - first, x["times"], x["part"]) for x in own), None
+                for p in range(1, max(x + (part > 0) for _, x, part in own) + 1):
+                    upto = [(b, b + (BLOCK if x >= p else part if x + 1 == p else 0)) for b, x, part in own]
+                    spans = [(max(b, 0), min(e, n)) for b, e in upto if e > max(b, 0)]
+                    if not spans:
+                        continue
                     rows.append(k)
                     if sum(e - s for s, e in spans) == n:
                         texts.append(t)
