@@ -27,9 +27,10 @@ def brute(rows, rules):
     judged = [(i, h, p, *rule_of(h, p, rules)) for i, h, p in judged]
     shape = {}
     for _, _, p, _, _ in judged:
-        s = re.sub(r"[0-9]+", "{n}", p).split("/")
-        shape[p] = tuple(s[: U.MAX_DEPTH]) + (("**",) if len(s) > U.MAX_DEPTH else ())
+        shape[p] = tuple(re.sub(r"[0-9]+", "{n}", p).split("/"))
     out = {}
+    verdicts = [v for *_, v in judged if v]
+    overall = (verdicts.count("block") + 1) / (len(verdicts) + 2)
     by_host = defaultdict(list)
     for i, h, p, rule, verdict in judged:
         by_host[h].append((shape[p], verdict))
@@ -43,7 +44,7 @@ def brute(rows, rules):
                     child[template[s], s[d]] += n[s]
                     node[template[s]] += n[s]
             template = {
-                s: t if len(s) <= d else t + "/" + (s[d] if child[t, s[d]] >= U.MIN_SHARE * node[t] else "*")
+                s: t if len(s) <= d else t + "/" + (s[d] if child[t, s[d]] * U.SHARE >= node[t] else "*")
                 for s, t in template.items()
             }
         bad, known = Counter(), Counter()
@@ -51,31 +52,36 @@ def brute(rows, rules):
             if v:
                 known[template[s]] += 1
                 bad[template[s]] += v == "block"
-        merged = {t: t for t in set(template.values())}
-        for d in range(max(len(t.split("/")) for t in merged) - 1, 0, -1):
-            b, k = Counter(), Counter()
-            for t, m in merged.items():
-                b[m] += bad[t]
-                k[m] += known[t]
-            pools = defaultdict(list)
-            for m in b:
-                segs = m.split("/")
-                if len(segs) > d and k[m] >= U.MIN_LABELS:
-                    pools["/".join([*segs[:d], "*", *segs[d + 1 :]])].append(m)
-            to = {}
-            for pool, ms in pools.items():
-                rate = sum(b[m] for m in ms) / sum(k[m] for m in ms)
-                for m in ms:
-                    if len(ms) > 1 and abs(b[m] - k[m] * rate) <= U.Z * (k[m] * rate * (1 - rate)) ** 0.5 + 0.5:
-                        to[m] = pool
-            merged = {t: to.get(m, m) for t, m in merged.items()}
-        b, k = Counter(), Counter()
+        pools = defaultdict(list)
+        for t in set(template.values()):
+            segs = t.split("/")
+            for d in range(2, len(segs)):
+                if known[t] >= U.MIN_LABELS:
+                    pools["/".join([*segs[:d], "*", *segs[d + 1 :]])].append((t, d))
+        merged, at = {t: t for t in set(template.values())}, Counter()
+        for pool, ts in pools.items():
+            all_bad, every = sum(bad[t] for t, _ in ts), sum(known[t] for t, _ in ts)
+            rate = all_bad / every
+            for t, d in ts:
+                rest = every - known[t]
+                spread = (rate * (1 - rate) * every * known[t] * rest) ** 0.5
+                if len(ts) > 1 and d > at[t] and abs(bad[t] * rest - (all_bad - bad[t]) * known[t]) <= U.Z * spread:
+                    merged[t], at[t] = pool, d
+        b, k, nb, nk = Counter(), Counter(), Counter(), Counter()
         for t, m in merged.items():
             b[m] += bad[t]
             k[m] += known[t]
-        for s in template:
-            m = merged[template[s]]
-            out[h, s] = "block" if (b[m] + U.ALPHA / 2) / (k[m] + U.ALPHA) >= U.REJECT_AT else "allow"
+            segs = t.split("/")
+            for d in range(2, len(segs)):
+                nb["/".join(segs[:d])] += bad[t]
+                nk["/".join(segs[:d])] += known[t]
+        for s, t in template.items():
+            rate, segs = overall, t.split("/")
+            for d in range(2, len(segs)):
+                node = "/".join(segs[:d])
+                rate = (nb[node] + U.ALPHA * rate) / (nk[node] + U.ALPHA) if nk[node] else rate
+            m = merged[t]
+            out[h, s] = "block" if (b[m] + U.ALPHA * rate) / (k[m] + U.ALPHA) >= U.REJECT_AT else "allow"
     return sorted(((i, h, p, rule, verdict or out[h, shape[p]]) for i, h, p, rule, verdict in judged), key=repr)
 
 
@@ -94,6 +100,45 @@ def test_rules_and_odd_urls(spark):
     check(spark, [(k, u) for k, u in enumerate(urls)] + [(None, "http://q.net/1"), (3, "http://")])
 
 
+def test_of_rules_as_long_the_first_listed_counts(spark):
+    for rules in ([("block", "a.test", "/"), ("allow", "a.test", "/")], [("allow", "b.a.test", "/"), ("block", "a.test", "/xy")]):
+        for own in (rules, rules[::-1]):
+            check(spark, [(1, "http://b.a.test/xyz"), (2, "http://a.test/xyz")], own)
+
+
+def test_deep_and_long_urls(spark):
+    deep = "http://deep.test/" + "d/" * 3000
+    rows = [(1, deep + "a"), (2, deep + "b"), (3, deep + "b"), (4, "http://deep.test/" + "x" * 200_000), (5, "http://deep.test/" + "1/" * 3000)]
+    rules = [("block", "deep.test", "/" + "d/" * 3000 + "b"), *U.RULES]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r for r in U.filter_urls(df, rules).collect()}
+    assert [got[k].verdict for k in (2, 3)] == ["block"] * 2 and got[1].template.endswith("/d/a") and got[1].template.count("/") == 3002
+    assert got[1].purity > got[4].purity  # the blocked branch is nearer
+
+
+def test_branches_that_differ_below_the_eighth_segment(spark):
+    path = "/".join("abcdefghij")
+    rows = [(k, f"http://h.test/{path}/{'spam' if k % 2 else 'ham'}/{k}") for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "page_id long, bad int")
+    got = {r.page_id: r.verdict for r in U.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), [], labels).collect()}
+    assert all(got[k] == ("block" if k % 2 else "allow") for k in range(60))
+
+
+def test_held_out_pages_of_the_rules_and_pages_without_a_rule(spark):
+    import zlib
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    ruled = {r.page_id: r for r in U.filter_urls(pages, U.RULES).collect()}
+    truth = {k: r.verdict for k, r in ruled.items() if r.rule is not None}
+    out = {k for k in truth if zlib.crc32(str(k).encode()) % 5 == 0}
+    labels = spark.createDataFrame([(k, int(v == "block")) for k, v in truth.items() if k not in out], "page_id long, bad int")
+    got = {r.page_id: r.verdict for r in U.filter_urls(pages, [], labels).collect() if r.page_id in out}
+    right = sum(got[k] == truth[k] for k in out) / len(out)
+    majority = Counter(truth[k] for k in out).most_common(1)[0][1] / len(out)
+    assert right > majority + 0.2
+    assert {r.verdict for r in ruled.values() if r.rule is None} == {"allow", "block"}
+
+
 def test_templates_of_busy_hosts(spark):
     rng = random.Random(10)
     rules = [*U.RULES, ("block", "shop.test", "/buy/"), ("allow", "shop.test", "/view/")]
@@ -126,8 +171,9 @@ def test_oracle_sql(spark):
     rows = [(k, f"http://{rng.choice(['shop.test', 'a.shop.test'])}/{rng.choice(['buy', 'view', 'x'])}/{rng.choice(['a', 'b9', 'deadbeef' * 3])}/{'d/' * rng.randrange(10)}") for k in range(600)]
     rows += [(900, None), (901, ""), (902, "http://Q.NET/1?x"), (902, "http://Q.NET/1?x")]
     c = duckdb.connect()
+    rows += [(1000 + k, f"http://b{k % 3}.example.com/{'de' if k % 4 else 'en'}/{k}/") for k in range(90)]
     c.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
     c.executemany("INSERT INTO pages VALUES (?, ?)", rows)
-    want = c.execute("SELECT page_id, host, path, rule, verdict, template FROM (" + U.oracle(rules) + ")").fetchall()
-    got = U.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).drop("n_labels", "purity")
+    want = c.execute("SELECT page_id, host, path, rule, verdict, template, n_labels, purity FROM (" + U.oracle(rules) + ")").fetchall()
+    got = U.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
