@@ -26,19 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_batches(
-    df: DataFrame, fn: Callable[[dict[str, pa.Array]], dict], schema: str, text_bytes: int | None = None
+    df: DataFrame, fn: Callable[[dict[str, pa.Array]], dict], schema: str, text_bytes: int | None = None, column: str = "text"
 ) -> DataFrame:
     """Run ``fn`` on every Arrow batch of ``df``.
 
     ``fn`` gets a dict of column arrays and returns a dict of arrays or lists in
     the order of ``schema``; the number of rows may change. With ``text_bytes``
-    it gets so much of the column ``text`` at a time, or one longer row.
+    it gets so much of ``column`` at a time, or one longer row.
     """
     target = _arrow_schema(df.sparkSession, schema)
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text_bytes):
+        for batch in pieces(batches, text_bytes, column):
             cols = dict(zip(batch.schema.names, batch.columns))
             out = fn(cols)
             arrays = [
@@ -65,13 +65,13 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text_bytes: int | None) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that the column ``text`` has ``text_bytes`` at most, or is one row."""
+def pieces(batches: Iterator[pa.RecordBatch], text_bytes: int | None, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches cut so that ``column`` has ``text_bytes`` at most, or is one row."""
     for batch in batches:
         if text_bytes is None or not batch.num_rows:
             yield batch
             continue
-        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0)
+        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
         upto = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:

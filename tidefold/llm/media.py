@@ -1,27 +1,31 @@
 """Media columns: bytes kept in, and read back from, progressive JPEG files.
 
-The format's unit is the quantised coefficient: one payload byte is one
+The format's unit is the quantised coefficient: one payload byte is one signed
 coefficient, 64 bytes are one 8x8 block in zigzag order, and all quantisers are
 1, so nothing is lost. Blocks fill the luma plane (2x2 sampling), then both
-chroma planes. A DC coefficient is ``byte - 128``; an AC coefficient has
-magnitude ``128 + (byte & 127)`` and is negative from 128 on. With these values
-every DC difference and every first-pass AC coefficient takes just 8 bits under
-the Huffman tables below, so the scans are read and written as arrays.
+chroma planes.
 
 Scans: DC without its lowest bit (interleaved), DC lowest bits; per component AC
-1-5 and 6-63 without their lowest bit, then AC 1-63 lowest bits (end-of-band
-runs with correction bits).
-
-``read_coefficients`` takes any progressive file of 8-bit samples; files with
-the tables above are read as arrays, others symbol by symbol.
+1-5 and 6-63 without their lowest bit, then AC 1-63 lowest bits. Codes are
+Huffman codes of many lengths, and a restart marker every RESTART units makes
+the pieces of a scan independent of one another.
+
+``read_files`` takes progressive files of 8-bit samples with any Huffman tables,
+scan scripts, restart intervals and whole-number sampling. It decodes all scans
+of a batch of files that don't build on one another at once: every piece between
+restart markers is a lane, and each step of a numpy loop takes one symbol in all
+lanes, looked up by the next 16 bits. Correction bits of refinement scans don't steer the reader, so
+they are only noted while symbols are read and applied together afterwards.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import re
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -40,59 +44,177 @@ _BASIS = np.rint(
     * 2**_BASIS_BITS
 )
 _TAG = b"tidefold"
+#: Units (MCUs, in AC scans blocks) between restart markers.
+RESTART = 32
+#: Text that a Python worker takes at a time, and coefficients that it decodes at a time.
+TEXT_BYTES, GROUP = 2_000_000, 1 << 22
+
+Table = tuple[tuple[int, ...], tuple[int, ...]]
+#: The format's usual DC table, as counts by length and symbols.
+_DC: Table = ((0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), tuple(range(12)))
+
+
+def _table(weight: dict[int, float]) -> Table:
+    """Code lengths of -log2 of each symbol's share, a tenth of which is spread evenly."""
+    total = sum(weight.values())
+    bits = {s: math.ceil(-math.log2(0.9 * w / total + 0.1 / len(weight))) for s, w in weight.items()}
+    order = sorted(weight, key=lambda s: (bits[s], s))
+    return tuple(sum(b == n for b in bits.values()) for n in range(1, 17)), tuple(order)
 
-# Huffman tables as (counts by length, symbols).
-_DC = ([1] * 8 + [0] * 8, [7, 6, 5, 4, 3, 2, 1, 0])  # size s: 8 - s bits, then s bits
-_AC_FIRST = ([1] + [0] * 15, [0x07])  # run 0, size 7: 1 bit, then 7 bits
-_AC_REFINE = ([0, 0, 0, 15] + [0] * 12, [r << 4 for r in range(15)])  # end-of-band runs
 
+_EOB = {r << 4: 2.0 ** -(r + 6) for r in range(15)} | {0xF0: 2.0**-9}
+#: Runs are rare in text, and its bytes have 5 or 6 bits without their lowest.
+_AC_FIRST = _table({r << 4 | s: 4.0 ** -(r + abs(s - 6)) for r in range(16) for s in range(1, 11)} | _EOB)
+_AC_REFINE = _table({r << 4 | 1: 1.0 for r in range(16)} | {k: 16 * v for k, v in _EOB.items()})
 
-def _dc_bytes() -> np.ndarray:
-    """Difference + 127 -> its 8 bits."""
-    out = np.zeros(255, np.uint8)
-    for d in range(-127, 128):
-        s = abs(d).bit_length()
-        code = ((1 << (8 - s)) - 2) if s < 8 else 0
-        out[d + 127] = (code << s) | (d if d >= 0 else d + (1 << s) - 1)
+
+@lru_cache(64)
+def _codes(table: Table) -> tuple[np.ndarray, np.ndarray]:
+    """(code, bits) by symbol."""
+    code, value, bits, at = 0, np.zeros(256, np.int64), np.zeros(256, np.int64), 0
+    for n, count in enumerate(table[0], 1):
+        for s in table[1][at : at + count]:
+            value[s], bits[s] = code, n
+            code += 1
+        at += count
+        code <<= 1
+    return value, bits
+
+
+@lru_cache(64)
+def _lookup(table: Table) -> np.ndarray:
+    """The next 16 bits -> bits of the code << 8 | symbol; 0 where no code fits."""
+    value, bits = _codes(table)
+    out = np.zeros(1 << 16, np.int32)
+    for s in table[1]:
+        n = int(bits[s])
+        first = int(value[s]) << (16 - n)
+        out[first : first + (1 << (16 - n))] = n << 8 | s
     return out
 
 
-_DC_BYTE = _dc_bytes()
-_DC_DIFF = np.zeros(256, np.int16)
-_DC_DIFF[_DC_BYTE] = np.arange(-127, 128)
-_PAY = np.arange(256)
-#: Payload byte -> signed AC coefficient, and its first-pass 8 bits (0, then 7 bits of size 7).
-_AC_VALUE = np.where(_PAY < 128, 128 + _PAY, -_PAY).astype(np.int16)
-_HALF = np.abs(_AC_VALUE) >> 1
-_AC_BYTE = np.where(_AC_VALUE > 0, _HALF, (~_HALF) & 127).astype(np.uint8)
-_AC_HALF = np.zeros(128, np.int16)
-_AC_HALF[_AC_BYTE] = np.where(_AC_VALUE > 0, _HALF, -_HALF)
+# Writing.
 
 
-def _marker(code: int, body: bytes) -> bytes:
-    return struct.pack(">BBH", 0xFF, code, len(body) + 2) + body
+def _packed(code: np.ndarray, bits: np.ndarray, lane: np.ndarray, lanes: int) -> list[bytes]:
+    """Entropy-coded bytes of each lane: codes of up to 32 bits in order, padded with ones, a zero after each 0xFF."""
+    total = np.bincount(lane, bits, lanes).astype(np.int64)
+    size = -(-total // 8)
+    first = np.cumsum(size) - size
+    before = np.cumsum(bits) - bits
+    lead = np.cumsum(total) - total
+    at = before + (first * 8 - lead)[lane]
+    pad = 8 * size - total
+    code = np.concatenate([code, (1 << pad) - 1]).astype(np.uint64)
+    at = np.concatenate([at, first * 8 + total])
+    shift = (64 - (at & 31) - np.concatenate([bits, pad])).astype(np.uint64) & np.uint64(63)
+    frame = code << shift
+    words = int(size.sum()) // 4 + 3
+    word = at >> 5
+    # Codes don't overlap, so their sum is their union; doubles hold such sums exactly.
+    acc = np.bincount(word, (frame >> np.uint64(32)).astype(np.float64), words)
+    acc += np.bincount(word + 1, (frame & np.uint64(0xFFFFFFFF)).astype(np.float64), words)
+    data = acc.astype(np.uint32).astype(">u4").tobytes()
+    return [data[a : a + n].replace(b"\xff", b"\xff\x00") for a, n in zip(first.tolist(), size.tolist())]
 
 
-def _sos(parts: list[tuple[int, int]], ss: int, se: int, ah: int, al: int) -> bytes:
-    return _marker(0xDA, bytes([len(parts)]) + b"".join(bytes(p) for p in parts) + bytes([ss, se, ah << 4 | al]))
+def _value_bits(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, size) of signed values as JPEG writes them."""
+    size = np.frexp(np.abs(v).astype(np.float32))[1].astype(np.int64)
+    return np.where(v >= 0, v, v + (1 << size) - 1), size
 
 
-def _packed(bits: np.ndarray) -> bytes:
-    """Bits as entropy-coded bytes: padded with ones, a zero after each 0xFF."""
-    pad = -len(bits) % 8
-    data = np.packbits(np.concatenate([bits, np.ones(pad, np.uint8)]) if pad else bits)
-    return data.tobytes().replace(b"\xff", b"\xff\x00")
+def _with_extra(table: Table, symbol: np.ndarray, extra: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    value, bits = _codes(table)
+    return value[symbol] << size | extra, bits[symbol] + size
 
 
-def _refinement(bits: np.ndarray) -> bytes:
-    """AC lowest bits (blocks x 63) under end-of-band runs of at most 32767 blocks."""
-    parts = []
-    for at in range(0, len(bits), 32767):
-        own = bits[at : at + 32767]
-        r = len(own).bit_length() - 1
-        head = r << r | (len(own) - (1 << r))  # the 4-bit code is r itself
-        parts += [np.array([head >> k & 1 for k in range(r + 3, -1, -1)], np.uint8), own.reshape(-1)]
-    return _packed(np.concatenate(parts))
+def _ac_items(new: np.ndarray, hist: np.ndarray | None, extra: np.ndarray, size: np.ndarray, lane: np.ndarray):
+    """(place, symbol, extra bits, their number, row) of the symbols of an AC scan, unordered.
+
+    ``new`` (rows x width): coefficients to write, with the bits and sizes in ``extra`` and
+    ``size``, in row-major order. ``hist``: coefficients that are not zero
+    already and don't count in runs. A symbol's place is that of the first coefficient
+    that it reaches from.
+    """
+    rows, width = new.shape
+    flat = np.flatnonzero(new)
+    row, col = np.divmod(flat, width)
+    if hist is None:
+        zeros, zero_at = col, None
+    else:
+        free = ~hist
+        count = np.cumsum(free.reshape(-1)) - free.reshape(-1)
+        zero_at = np.flatnonzero(free)
+        row_zero = count[::width] if rows else count
+        zeros = count[flat] - row_zero[row]
+    follows = np.append(False, row[1:] == row[:-1])[: len(row)]
+    since = np.where(follows, np.roll(zeros, 1) + 1, 0)
+    begin = np.where(follows, np.roll(flat, 1) + 1, row * width)
+    run = zeros - since
+    longs = run >> 4
+
+    def after(k, n):
+        """Place after the n-th 16 free places from the start of symbol k on."""
+        if zero_at is None:
+            return begin[k] + 16 * n
+        return np.where(n > 0, zero_at[np.minimum(row_zero[row[k]] + since[k] + 16 * n - 1, len(zero_at) - 1)] + 1, begin[k])
+
+    every = np.arange(len(flat))
+    skip = np.repeat(every, longs)
+    nth = np.arange(len(skip)) - np.repeat(np.cumsum(longs) - longs, longs)
+    # End-of-band runs: rows with places left, and empty rows after such a row of the same lane.
+    last = np.full(rows, -1)
+    last[row] = col
+    open_ = last < width - 1
+    joins = (last < 0) & np.append(False, open_[:-1] & (lane[1:] == lane[:-1]))[:rows]
+    head = np.flatnonzero(open_ & ~joins)
+    upto = np.append(head[1:], rows)
+    runs = np.add.reduceat((open_ & (joins | np.isin(np.arange(rows), head))).astype(np.int64), head) if len(head) else upto[:0]
+    power = np.frexp(runs.astype(np.float64))[1] - 1 if len(head) else runs
+    return (
+        np.concatenate([after(every, longs), after(skip, nth), head * width + last[head] + 1]),
+        np.concatenate([(run & 15) << 4 | (size if hist is None else 1), np.full(len(skip), 0xF0), power << 4]),
+        np.concatenate([extra, np.zeros(len(skip), np.int64), runs - (1 << power)]),
+        np.concatenate([size, np.zeros(len(skip), np.int64), power]),
+        np.concatenate([row, row[skip], head]),
+    )
+
+
+def _ac_scan(band: np.ndarray, al: int, first: bool, lane: np.ndarray, lanes: int) -> list[bytes]:
+    """Lanes of an AC scan of ``band`` (rows x width, whole coefficients)."""
+    mag = np.abs(band) >> al
+    if first:
+        new = mag > 0
+        extra, size = _value_bits(np.where(band < 0, -mag, mag)[new].astype(np.int64))
+        at, symbol, extra, size, row = _ac_items(new, None, extra, size, lane)
+        code, bits = _with_extra(_AC_FIRST, symbol, extra, size)
+        order = np.argsort(at, kind="stable")
+        return _packed(code[order], bits[order], lane[row[order]], lanes)
+    hist, new = mag > 1, mag == 1
+    n = int(new.sum())
+    at, symbol, extra, size, row = _ac_items(new, hist, (band[new] > 0).astype(np.int64), np.ones(n, np.int64), lane)
+    code, bits = _with_extra(_AC_REFINE, symbol, extra, size)
+    # Correction bits: of rows that are full already 32 at a time, else one by one.
+    width = band.shape[1]
+    low = (mag & 1).astype(np.uint8)
+    full = np.flatnonzero(hist.all(1)) if width == 63 else np.empty(0, np.int64)
+    eight = np.packbits(low[full], axis=1).reshape(-1, 8).view(">u4").astype(np.int64)
+    hist[full] = False
+    fix = np.flatnonzero(hist)
+    at = np.concatenate([2 * at, 2 * fix + 1, 2 * full * width + 1, 2 * (full * width + 32) + 1])
+    order = np.argsort(at, kind="stable")
+    code = np.concatenate([code, low.reshape(-1)[fix], eight[:, 0], eight[:, 1] >> 1])[order]
+    bits = np.concatenate([bits, np.ones(len(fix), np.int64), np.full(len(full), 32), np.full(len(full), 31)])[order]
+    return _packed(code, bits, lane[np.concatenate([row, fix // width, full, full])[order]], lanes)
+
+
+def _marker(code: int, body: bytes) -> bytes:
+    return struct.pack(">BBH", 0xFF, code, len(body) + 2) + body
+
+
+def _sos(parts: list[tuple[int, int]], ss: int, se: int, ah: int, al: int) -> bytes:
+    return _marker(0xDA, bytes([len(parts)]) + b"".join(bytes(p) for p in parts) + bytes([ss, se, ah << 4 | al]))
 
 
 def _grid(blocks: int) -> tuple[int, int]:
@@ -105,103 +227,113 @@ def _grid(blocks: int) -> tuple[int, int]:
     return across, down
 
 
+@lru_cache(256)
 def _mcu_order(across: int, down: int) -> np.ndarray:
-    """Raster index of luma blocks, 4 a row, in the order of the interleaved scan."""
+    """Rows of the blocks of a 4:2:0 file, luma and both chroma planes after one another, by MCU."""
     x, y = np.meshgrid(np.arange(across), np.arange(down))
     first = (2 * y * 2 * across + 2 * x).reshape(-1, 1)
-    return first + np.array([0, 1, 2 * across, 2 * across + 1])
+    mcu = np.arange(across * down)[:, None]
+    return np.hstack([first + np.array([0, 1, 2 * across, 2 * across + 1]), 4 * len(mcu) + mcu, 5 * len(mcu) + mcu])
+
+
+def _lanes(counts: list[int]) -> tuple[np.ndarray, list[int]]:
+    """(lane of each of the units of all files, number of lanes of each file)."""
+    each = [-(-n // RESTART) for n in counts]
+    first = np.cumsum([0, *each[:-1]])
+    return np.concatenate([a + np.arange(n) // RESTART for a, n in zip(first, counts)]), each
+
+
+def _split(lanes: list[bytes], each: list[int]) -> list[bytes]:
+    """The entropy-coded data of each file, with restart markers."""
+    out, at = [], 0
+    for n in each:
+        parts = [lanes[at]]
+        for k in range(1, n):
+            parts += [bytes([0xFF, 0xD0 + (k - 1) % 8]), lanes[at + k]]
+        out.append(b"".join(parts))
+        at += n
+    return out
+
+
+def encode_payloads(payloads: list[bytes]) -> list[bytes]:
+    """A progressive JPEG file for each payload (a positive multiple of 64 bytes)."""
+    if not payloads:
+        return []
+    grids = [_grid(len(p) // 64) for p in payloads]
+    mcus = [a * d for a, d in grids]
+    base = np.cumsum([0, *(6 * m for m in mcus)])
+    coef = np.zeros((int(base[-1]), 64), np.int8)
+    for p, b in zip(payloads, base.tolist()):
+        coef[b : b + len(p) // 64] = np.frombuffer(p, np.int8).reshape(-1, 64)
+    files = [
+        [
+            b"\xff\xd8",
+            _marker(0xFE, _TAG + struct.pack(">Q", len(p))),
+            _marker(0xDB, b"\x00" + b"\x01" * 64),
+            _marker(0xC2, struct.pack(">BHHB", 8, 16 * d, 16 * a, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])),
+            *(_marker(0xC4, bytes([slot, *t[0], *t[1]])) for slot, t in ((0x00, _DC), (0x10, _AC_FIRST), (0x11, _AC_REFINE))),
+            _marker(0xDD, struct.pack(">H", RESTART)),
+        ]
+        for p, (a, d) in zip(payloads, grids)
+    ]
+
+    def add(head: bytes, lanes: list[bytes], each: list[int]) -> None:
+        for f, data in zip(files, _split(lanes, each)):
+            f += [head, data]
+
+    parts = [(1, 0), (2, 0), (3, 0)]
+    lane, each = _lanes(mcus)
+    order = np.concatenate([b + _mcu_order(*g) for b, g in zip(base.tolist(), grids)])
+    dc = coef[:, 0][order].astype(np.int64)
+    high, fresh = dc >> 1, np.append(True, lane[1:] != lane[:-1])
+    line = np.concatenate([np.zeros((len(dc), 1), np.int64), high[:, :3]], 1)
+    line[1:, 0] = high[:-1, 3]
+    last = np.concatenate([line, np.roll(high[:, 4:], 1, 0)], 1)
+    last[np.ix_(fresh, [0, 4, 5])] = 0
+    extra, size = _value_bits((high - last).reshape(-1))
+    code, bits = _with_extra(_DC, size, extra, size)
+    by_unit = np.repeat(lane, 6)
+    add(_sos(parts, 0, 0, 0, 1), _packed(code, bits, by_unit, sum(each)), each)
+    add(_sos(parts, 0, 0, 1, 0), _packed((dc & 1).reshape(-1), np.ones(dc.size, np.int64), by_unit, sum(each)), each)
+    for c in (0, 1, 2):
+        counts = [m * (4 if c == 0 else 1) for m in mcus]
+        skip = [0 if c == 0 else m * (3 + c) for m in mcus]
+        plane = coef[np.concatenate([np.arange(b + s, b + s + n) for b, s, n in zip(base.tolist(), skip, counts)])].astype(np.int16)
+        lane, each = _lanes(counts)
+        for ss, se, ah, al, t in ((1, 5, 0, 1, 0), (6, 63, 0, 1, 0), (1, 63, 1, 0, 1)):
+            add(_sos([(c + 1, t)], ss, se, ah, al), _ac_scan(plane[:, ss : se + 1], al, not ah, lane, sum(each)), each)
+    return [b"".join([*f, b"\xff\xd9"]) for f in files]
 
 
 def encode_payload(payload: bytes) -> bytes:
     """A progressive JPEG file that holds ``payload`` (a positive multiple of 64 bytes)."""
-    blocks = len(payload) // 64
-    across, down = _grid(blocks)
-    mcus = across * down
-    units = np.zeros((6 * mcus, 64), np.uint8)
-    units[:blocks] = np.frombuffer(payload, np.uint8).reshape(-1, 64)
-    planes = [units[: 4 * mcus], units[4 * mcus : 5 * mcus], units[5 * mcus :]]
-    out = [
-        b"\xff\xd8",
-        _marker(0xFE, _TAG + struct.pack(">Q", len(payload))),
-        _marker(0xDB, b"\x00" + b"\x01" * 64),
-        _marker(0xC2, struct.pack(">BHHB", 8, 16 * down, 16 * across, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])),
-    ]
-    for slot, (counts, symbols) in ((0x00, _DC), (0x10, _AC_FIRST), (0x11, _AC_REFINE)):
-        out.append(_marker(0xC4, bytes([slot, *counts, *symbols])))
-    order = _mcu_order(across, down)
-    dc = [p[:, 0].astype(np.int16) - 128 for p in planes]
-    stream = np.empty((mcus, 6), np.uint8)
-    luma = dc[0][order]
-    for k, values in ((slice(0, 4), luma.reshape(-1)), (4, dc[1]), (5, dc[2])):
-        high = values >> 1
-        diff = np.diff(high, prepend=np.int16(0))
-        stream[:, k] = _DC_BYTE[diff + 127].reshape(mcus, -1) if k == slice(0, 4) else _DC_BYTE[diff + 127]
-    out += [_sos([(1, 0), (2, 0), (3, 0)], 0, 0, 0, 1), stream.tobytes()]
-    low = np.concatenate([luma & 1, (dc[1] & 1)[:, None], (dc[2] & 1)[:, None]], axis=1).astype(np.uint8)
-    out += [_sos([(1, 0), (2, 0), (3, 0)], 0, 0, 1, 0), _packed(low.reshape(-1))]
-    for c, p in enumerate(planes, 1):
-        for ss, se in ((1, 5), (6, 63)):
-            out += [_sos([(c, 0)], ss, se, 0, 1), _AC_BYTE[p[:, ss : se + 1]].tobytes()]
-        # The lowest bit of the magnitude, for either sign.
-        out += [_sos([(c, 1)], 1, 63, 1, 0), _refinement((_AC_VALUE[p[:, 1:]] & 1).astype(np.uint8))]
-    out.append(b"\xff\xd9")
-    return b"".join(out)
-
-
-class _Bits:
-    """Bit reader for the general path."""
-
-    def __init__(self, data: bytes):
-        self.bits = np.unpackbits(np.frombuffer(data, np.uint8)).tolist()
-        self.at = 0
-
-    def take(self, n: int) -> int:
-        v = 0
-        for b in self.bits[self.at : self.at + n]:
-            v = v << 1 | b
-        self.at += n
-        return v
-
-    def symbol(self, codes: dict[tuple[int, int], int]) -> int:
-        v = 0
-        for n in range(1, 17):
-            v = v << 1 | self.bits[self.at]
-            self.at += 1
-            if (n, v) in codes:
-                return codes[n, v]
-        raise ValueError("no such code")
-
-    def signed(self, size: int) -> int:
-        v = self.take(size)
-        return v if not size or v >> (size - 1) else v - (1 << size) + 1
-
-
-def _codes(counts: list[int], symbols: list[int]) -> dict[tuple[int, int], int]:
-    out, code, at = {}, 0, 0
-    for n, count in enumerate(counts, 1):
-        for s in symbols[at : at + count]:
-            out[n, code] = s
-            code += 1
-        at += count
-        code <<= 1
-    return out
+    return encode_payloads([payload])[0]
 
 
-def read_coefficients(data: bytes, arrays: bool = True) -> dict:
-    """height, width, payload size (None if not ours) and per component: coefficients
-    (blocks x 64, zigzag, raster order), blocks across, sampling, quantisers.
+# Reading.
 
-    ``arrays=False`` reads symbol by symbol whatever the tables are.
-    """
-    at, quant, huff, comps, info = 2, {}, {}, [], {"payload": None}
+_END = re.compile(rb"\xff[\x01-\xcf\xd8-\xfe]")
+_RST = re.compile(rb"\xff[\xd0-\xd7]")
+
+
+def _parsed(data: bytes) -> dict:
+    """Header values, components and scans of a file; nothing is decoded."""
+    info, quant, huff, every = {"payload": None, "components": [], "scans": []}, {}, {}, 0
+    comps, at = info["components"], 2
+    if data[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG file")
     while True:
+        while data[at : at + 2] == b"\xff\xff":
+            at += 1
+        if len(data) < at + 2 or data[at] != 0xFF:
+            raise ValueError("no marker where one is due")
         code = data[at + 1]
         if code == 0xD9:
-            return info | {"components": comps}
+            break
         size = struct.unpack(">H", data[at + 2 : at + 4])[0]
         body = data[at + 4 : at + 2 + size]
         at += 2 + size
-        if code == 0xFE and body.startswith(_TAG):
+        if code == 0xFE and body.startswith(_TAG) and len(body) == len(_TAG) + 8:
             info["payload"] = struct.unpack(">Q", body[len(_TAG) :])[0]
         elif code == 0xDB:
             while body:
@@ -210,191 +342,342 @@ def read_coefficients(data: bytes, arrays: bool = True) -> dict:
                 quant[body[0] & 15], body = values, body[65 + 64 * wide :]
         elif code == 0xC4:
             while body:
-                counts = list(body[1:17])
-                n = sum(counts)
-                huff[body[0]], body = (counts, list(body[17 : 17 + n])), body[17 + n :]
+                n = sum(body[1:17])
+                huff[body[0]], body = (tuple(body[1:17]), tuple(body[17 : 17 + n])), body[17 + n :]
+        elif code == 0xDD:
+            every = struct.unpack(">H", body)[0]
         elif code == 0xC2:
-            _, info["height"], info["width"], n = struct.unpack(">BHHB", body[:6])
+            bits, info["height"], info["width"], n = struct.unpack(">BHHB", body[:6])
+            if bits != 8 or n not in (1, 3) or not info["height"]:
+                raise ValueError("only files of 8-bit samples, 1 or 3 components and a stated height")
             specs = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)]
             hmax, vmax = max(s[1] for s in specs), max(s[2] for s in specs)
-            info["mcus"] = (-(-info["width"] // (8 * hmax)), -(-info["height"] // (8 * vmax)))
+            if any(hmax % h or vmax % v for _, h, v, _ in specs):
+                raise ValueError("only sampling factors that divide the largest")
+            info |= {"hmax": hmax, "vmax": vmax, "mcus": (-(-info["width"] // (8 * hmax)), -(-info["height"] // (8 * vmax)))}
             for i, h, v, q in specs:
-                wide, high = info["mcus"][0] * h, info["mcus"][1] * v
-                comps.append({"id": i, "h": h, "v": v, "q": quant[q], "across": wide, "coef": np.zeros((wide * high, 64), np.int32), "own": (-(-info["width"] * h // (8 * hmax)), -(-info["height"] * v // (8 * vmax)))})
-            info |= {"hmax": hmax, "vmax": vmax}
+                own = (-(-info["width"] * h // (8 * hmax)), -(-info["height"] * v // (8 * vmax)))
+                comps.append({"id": i, "h": h, "v": v, "quant": q, "across": info["mcus"][0] * h, "down": info["mcus"][1] * v, "own": own})
         elif code == 0xDA:
             parts = [(next(c for c in comps if c["id"] == body[1 + 2 * k]), body[2 + 2 * k]) for k in range(body[0])]
             ss, se, a = body[-3:]
-            end = at
-            while True:
-                end = data.index(b"\xff", end)
-                if data[end + 1] != 0:
-                    break
-                end += 2
-            scan = data[at:end].replace(b"\xff\x00", b"\xff")
-            at = end
-            ah, al = a >> 4, a & 15
-            if not (arrays and _scan_as_arrays(scan, parts, huff, info["mcus"], ss, se, ah, al)):
-                _scan_by_symbol(scan, parts, huff, info["mcus"], ss, se, ah, al)
-        elif code in (0xC0, 0xC1):
-            raise ValueError("not a progressive file")
-
-
-def _order(parts, mcus) -> list[np.ndarray]:
-    """Per component of a scan, block indices as (MCU, block in the MCU)."""
+            found = _END.search(data, at)
+            if not found:
+                raise ValueError("no marker after a scan")
+            tables = [huff.get(t >> 4 if ss == 0 else 0x10 | t & 15) for _, t in parts]
+            pieces = _RST.split(data[at : found.start()]) if every else [data[at : found.start()]]
+            info["scans"].append((parts, tables, ss, se, a >> 4, a & 15, every, pieces))
+            at = found.start()
+        elif 0xC0 <= code <= 0xCF and code != 0xCC:
+            raise ValueError("not a progressive file of Huffman codes")
+    if not comps:
+        raise ValueError("no frame")
+    for c in comps:
+        c["q"] = quant[c["quant"]]
+    return info
+
+
+def _order(parts, mcus) -> np.ndarray:
+    """Rows of the blocks of a scan, as (MCU, block in the MCU)."""
+    base = parts[0][0]["row"]
+    shape = (mcus, tuple((c["row"] - base, c["across"], c["h"], c["v"], c["own"]) for c, _ in parts))
+    return base + (_small_order if mcus[0] * mcus[1] < 1000 else _any_order)(*shape)
+
+
+def _any_order(mcus: tuple[int, int], parts: tuple) -> np.ndarray:
     if len(parts) == 1:
-        c = parts[0][0]
-        x, y = np.meshgrid(np.arange(c["own"][0]), np.arange(c["own"][1]))
-        return [(y * c["across"] + x).reshape(-1, 1)]
+        _, across, _, _, own = parts[0]
+        return (np.arange(own[1])[:, None] * across + np.arange(own[0])).reshape(-1, 1)
     x, y = np.meshgrid(np.arange(mcus[0]), np.arange(mcus[1]))
-    return [
-        (y * c["v"] * c["across"] + x * c["h"]).reshape(-1, 1)
-        + (np.arange(c["v"])[:, None] * c["across"] + np.arange(c["h"])).reshape(-1)
-        for c, _ in parts
-    ]
+    return np.hstack(
+        [
+            row + (y * v * across + x * h).reshape(-1, 1) + (np.arange(v)[:, None] * across + np.arange(h)).reshape(-1)
+            for row, across, h, v, _ in parts
+        ]
+    )
 
 
-def _scan_as_arrays(scan, parts, huff, mcus, ss, se, ah, al) -> bool:
-    """Read a scan whose codes all have one width; False if its tables are others."""
-    orders = _order(parts, mcus)
-    if ss == 0:
-        if ah == 0:
-            if al != 1 or any(huff[t >> 4] != _DC for _, t in parts):
-                return False
-            data = np.frombuffer(scan, np.uint8).reshape(len(orders[0]), -1)
-            at = 0
-            for (c, _), o in zip(parts, orders):
-                diff = _DC_DIFF[data[:, at : at + o.shape[1]]].reshape(-1)
-                c["coef"][o.reshape(-1), 0] = np.cumsum(diff, dtype=np.int32) << al
-                at += o.shape[1]
-            return True
-        n = sum(o.size for o in orders)
-        bits = np.unpackbits(np.frombuffer(scan, np.uint8), count=n).reshape(len(orders[0]), -1)
-        at = 0
-        for (c, _), o in zip(parts, orders):
-            c["coef"][o.reshape(-1), 0] |= bits[:, at : at + o.shape[1]].reshape(-1).astype(np.int32) << al
-            at += o.shape[1]
-        return True
-    c, table = parts[0]
-    rows = orders[0][:, 0]
-    whole = len(rows) == len(c["coef"])
-    if ah == 0:
-        if al != 1 or huff[0x10 | table & 15] != _AC_FIRST or len(scan) != len(rows) * (se - ss + 1) or not whole:
-            return False
-        c["coef"][:, ss : se + 1] = _AC_HALF[np.frombuffer(scan, np.uint8).reshape(len(rows), -1)] << al
-        return True
-    if ah != 1 or huff[0x10 | table & 15] != _AC_REFINE or not whole or not c["coef"][:, ss : se + 1].all():
-        return False
-    bits, at, done, width = np.unpackbits(np.frombuffer(scan, np.uint8)), 0, 0, se - ss + 1
-    band = c["coef"][:, ss : se + 1]
-    while done < len(rows):
-        r = int(bits[at : at + 4] @ (8, 4, 2, 1))
-        run = (1 << r) + int("0" + "".join(map(str, bits[at + 4 : at + 4 + r].tolist())), 2)
-        at += 4 + r
-        fix = bits[at : at + run * width].reshape(run, width).astype(np.int32)
-        part = band[done : done + run]
-        part += np.where(part > 0, fix, -fix) << al
-        at += run * width
-        done += run
-    return True
-
-
-def _scan_by_symbol(scan, parts, huff, mcus, ss, se, ah, al) -> None:
-    bits, orders = _Bits(scan), _order(parts, mcus)
-    if ss == 0:
-        last = [0] * len(parts)
-        for m in range(len(orders[0])):
-            for k, (c, table) in enumerate(parts):
-                for b in orders[k][m].tolist():
-                    if ah:
-                        c["coef"][b, 0] |= bits.take(1) << al
-                    else:
-                        last[k] += bits.signed(bits.symbol(_codes(*huff[table >> 4])))
-                        c["coef"][b, 0] = last[k] << al
-        return
-    c, table = parts[0]
-    codes, run = _codes(*huff[0x10 | table & 15]), 0
-    step = 1 << al
-
-    def correct(row, k):
-        if bits.take(1) and not abs(int(row[k])) & step:
-            row[k] += step if row[k] > 0 else -step
-
-    for b in orders[0][:, 0].tolist():
-        row, k = c["coef"][b], ss
-        while k <= se and not run:
-            s = bits.symbol(codes)
-            r, size = s >> 4, s & 15
-            if not size and r < 15:
-                run = (1 << r) + bits.take(r)
-                break
-            value = 0
-            if size:
-                value = bits.signed(size) * step
-            if not ah:
-                k += r
-                if size:
-                    row[k] = value
-                k += 1
-                continue
-            while k <= se:
-                if row[k]:
-                    correct(row, k)
-                elif r:
-                    r -= 1
-                else:
-                    break
-                k += 1
-            if size and k <= se:
-                row[k] = value
-            k += 1
-        if run:
-            if ah:
-                for k in range(k, se + 1):
-                    if row[k]:
-                        correct(row, k)
-            run -= 1
+_small_order = lru_cache(1024)(_any_order)
+
+
+class _Lanes:
+    """The pieces of one scan of some files: a row of bytes each, and the rows of their blocks.
+
+    ``at`` and ``end`` are bit positions in the joined bytes, ``first`` and
+    ``count`` the place and number of a lane's blocks in ``order``.
+    """
+
+    def __init__(self, pieces: list[bytes], orders: list[np.ndarray], tables: list[int], luts: np.ndarray):
+        data = [p.replace(b"\xff\x00", b"\xff") for p in pieces]
+        size = np.array([len(d) for d in data], np.int64)
+        self.raw = np.frombuffer(b"".join([*data, bytes(8)]), np.uint8)
+        raw = self.raw.astype(np.uint32)
+        self.window = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
+        self.end = np.cumsum(size) * 8
+        self.at = self.end - 8 * size
+        self.count = np.array([o.size for o in orders], np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        self.order = np.concatenate([o.reshape(-1) for o in orders])
+        self.tables, self.luts = np.array(tables, np.int64), luts
+
+    def take(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """``n`` (at most 16) bits from ``at`` on."""
+        where = np.minimum(at >> 3, len(self.window) - 1)
+        return self.window[where].astype(np.int64) >> (32 - (at & 7) - n) & ((1 << n) - 1)
+
+    def bit(self, at: np.ndarray) -> np.ndarray:
+        """The bit at each place, uint8."""
+        return self.raw[np.minimum(at >> 3, len(self.raw) - 1)] >> (~at & 7).astype(np.uint8) & 1
+
+    def symbol(self, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbol, place after its code)."""
+        found = self.luts[table + self.take(at, 16)]
+        if not found.all():
+            raise ValueError("no such code")
+        return found & 255, at + (found >> 8)
+
+    def check(self, at: np.ndarray, lanes: np.ndarray) -> None:
+        if (at > self.end[lanes]).any():
+            raise ValueError("a scan ends too early")
+
+
+def _dc_first(x: _Lanes, coef: np.ndarray, units: np.ndarray, tables: np.ndarray, comps: np.ndarray, al: int) -> None:
+    """``units``: blocks of an MCU; ``tables`` and ``comps``: per lane, those of each of them."""
+    live, at, k = np.arange(len(x.at)), x.at.copy(), np.zeros(len(x.at), np.int64)
+    last = np.zeros((len(x.at), 4), np.int64)
+    while len(live):
+        unit = k % units[live]
+        size, at = x.symbol(at, tables[live, unit])
+        bits = x.take(at, size)
+        at = at + size
+        value = np.where(bits >> np.maximum(size - 1, 0) & 1, bits, bits - (1 << size) + 1)
+        comp = comps[live, unit]
+        last[live, comp] += np.where(size > 0, value, 0)
+        coef[x.order[x.first[live] + k], 0] = last[live, comp] << al
+        k = k + 1
+        go = k < x.count[live]
+        if not go.all():
+            x.check(at[~go], live[~go])
+            live, at, k = live[go], at[go], k[go]
+
+
+def _dc_refine(x: _Lanes, coef: np.ndarray, al: int) -> None:
+    x.check(x.at + x.count, np.arange(len(x.at)))
+    at = np.repeat(x.at - x.first, x.count) + np.arange(len(x.order))
+    coef[x.order, 0] |= x.bit(at).astype(coef.dtype) << al
+
+
+def _ac_first(x: _Lanes, coef: np.ndarray, ss: np.ndarray, se: np.ndarray, al: int) -> None:
+    """``ss`` and ``se``: first and last coefficient of each lane."""
+    flat = coef.reshape(-1)
+    live, at = np.arange(len(x.at)), x.at.copy()
+    block, k, table = x.first.copy(), ss.copy(), x.tables.copy()
+    stop = x.first + x.count
+    while len(live):
+        symbol, at = x.symbol(at, table)
+        run, size = symbol >> 4, symbol & 15
+        ends = (size == 0) & (run < 15)
+        n = np.where(ends, run, size)
+        bits = x.take(at, n)
+        at = at + n
+        k = k + run
+        put = np.flatnonzero(size)
+        if len(put) < len(size):
+            if (k[put] > se[put]).any():
+                raise ValueError("a run leaves its band")
+            size_, bits_, k_, block_ = size[put], bits[put], k[put], block[put]
+        else:
+            size_, bits_, k_, block_ = size, bits, k, block
+        value = np.where(bits_ >> (size_ - 1), bits_, bits_ - (1 << size_) + 1)
+        flat[(x.order[block_] << 6) + k_] = value << al
+        k = k + 1
+        over = ends | (k > se)
+        if over.any():
+            block = block + np.where(ends, (1 << run) + bits, over)
+            k = np.where(over, ss, k)
+            go = block < stop
+            if not go.all():
+                x.check(at[~go], live[~go])
+                live, at, block, k, table, stop, ss, se = (v[go] for v in (live, at, block, k, table, stop, ss, se))
+
+
+def _ac_refine(x: _Lanes, coef: np.ndarray, ss: int, se: int, al: int) -> None:
+    width = se - ss + 1
+    band = coef[x.order, ss : se + 1]
+    hist = (band != 0).reshape(-1)
+    known = np.concatenate([[0], np.cumsum(hist)])  # coefficients not zero before each place
+    free, full = np.flatnonzero(~hist), np.flatnonzero(hist)
+    live, at, table = np.arange(len(x.at)), x.at.copy(), x.tables.copy()
+    place, stop = x.first * width, (x.first + x.count) * width
+    notes, fresh = [], []
+    while len(live):
+        symbol, at = x.symbol(at, table)
+        run, size = symbol >> 4, symbol & 15
+        ends = (size == 0) & (run < 15)
+        n = np.where(ends, run, size)
+        bits = x.take(at, n)
+        at = at + n
+        # The run ends at the (run + 1)-th place from here that is zero, or with whole blocks.
+        nth = place - known[place] + run
+        goal = free[np.minimum(nth, len(free) - 1)] if len(free) else place
+        edge = (place // width + 1) * width
+        if ((goal >= edge) | (nth >= len(free)) | (size > 1))[~ends].any():
+            raise ValueError("a run leaves its band")
+        goal = np.where(ends, np.minimum(edge + ((1 << run) + bits - 1) * width, stop), goal)
+        fix = known[goal] - known[place]
+        some = np.flatnonzero(fix)
+        notes.append((at[some], known[place[some]], fix[some]))
+        put = np.flatnonzero(size)
+        if len(put):
+            fresh.append((goal[put], np.where(bits[put] > 0, 1, -1)))
+        at = at + fix
+        place = np.where(ends, goal, goal + 1)
+        go = place < stop
+        if not go.all():
+            x.check(at[~go], live[~go])
+            live, at, table, place, stop = live[go], at[go], table[go], place[go], stop[go]
+    flat, step = band.reshape(-1), 1 << al
+    first, which, many = (np.concatenate(c) for c in zip(*notes)) if notes else (np.empty(0, np.int64),) * 3
+    lead = np.cumsum(many) - many
+    at = np.repeat(first - lead, many) + np.arange(int(many.sum()))
+    where = full[np.repeat(which - lead, many) + np.arange(int(many.sum()))]
+    old = flat[where]
+    fix = x.bit(at).astype(flat.dtype) * (np.abs(old) & step == 0)
+    flat[where] = old + np.where(old > 0, fix, -fix) * step
+    for goal, sign in fresh:
+        flat[goal] = sign * step
+    coef[x.order, ss : se + 1] = band
+
+
+def _decode(kind: tuple, jobs: list, coef: np.ndarray) -> None:
+    """Decode the lanes of scans of one kind: (dc, refinement, al, band of an AC refinement)."""
+    dc, refine, al, band = kind
+    names: dict = {}
+    pieces, orders, tables, unit_tables, unit_comps, units, bands = [], [], [], [], [], [], []
+    for parts, own, every, data, mcus, *span in jobs:
+        if not (dc and refine):
+            for t in own:
+                if t is None:
+                    raise ValueError("a scan without its table")
+                names.setdefault(t, len(names) << 16)
+        order = _order(parts, mcus)
+        step = every or len(order)
+        if len(data) != -(-len(order) // step):
+            raise ValueError("restart markers are missing")
+        pieces += data
+        orders += [order[a : a + step] for a in range(0, len(order), step)]
+        tables += [names.get(own[0], 0)] * len(data)
+        bands += [span] * len(data)
+        if dc and not refine:
+            each = [1] if len(parts) == 1 else [c["h"] * c["v"] for c, _ in parts]
+            row = [names[t] for t, n in zip(own, each) for _ in range(n)]
+            comp = [k for k, n in enumerate(each) for _ in range(n)]
+            pad = [0] * (12 - len(row))
+            unit_tables += [row + pad] * len(data)
+            unit_comps += [comp + pad] * len(data)
+            units += [len(row)] * len(data)
+    luts = np.concatenate([_lookup(t) for t in names]) if names else np.zeros(1, np.int32)
+    a = 0
+    while a < len(pieces):  # some lanes at a time
+        b, held = a, 0
+        while b < len(pieces) and (b == a or held + 64 * orders[b].size <= GROUP):
+            held += 64 * orders[b].size
+            b += 1
+        x = _Lanes(pieces[a:b], orders[a:b], tables[a:b], luts)
+        if dc and refine:
+            _dc_refine(x, coef, al)
+        elif dc:
+            _dc_first(x, coef, np.array(units[a:b]), np.array(unit_tables[a:b]), np.array(unit_comps[a:b]), al)
+        elif refine:
+            _ac_refine(x, coef, *band, al)
+        else:
+            _ac_first(x, coef, *np.array(bands[a:b]).T, al)
+        a = b
+
+
+def read_files(files: list[bytes]) -> list[dict]:
+    """Per file height, width, payload size (None if not ours) and per component: coefficients
+    (blocks x 64, zigzag, raster order), blocks across, sampling, quantisers.
+    """
+    infos, rows = [_parsed(f) for f in files], 0
+    for info in infos:
+        info["row"] = rows
+        for c in info["components"]:
+            c["row"] = rows
+            rows += c["across"] * c["down"]
+        info["rows"] = rows - info["row"]
+    coef = np.zeros((rows, 64), np.int16)
+    turns: list[dict] = []
+    for info in infos:
+        done: list[tuple] = []  # (component, ss, se, turn) of the scans so far
+        for parts, tables, ss, se, ah, al, every, pieces in info["scans"]:
+            own = [c["id"] for c, _ in parts]
+            turn = 1 + max((t for i, a, b, t in done if i in own and a <= se and ss <= b), default=-1)
+            done += [(i, ss, se, turn) for i in own]
+            while len(turns) <= turn:
+                turns.append({})
+            kind = (ss == 0, ah > 0, al, (ss, se) if ss and ah else None)
+            turns[turn].setdefault(kind, []).append((parts, tables, every, pieces, info["mcus"], ss, se))
+    for kinds in turns:
+        for kind, jobs in kinds.items():
+            _decode(kind, jobs, coef)
+    for info in infos:
+        del info["scans"]
+        info["coef"] = coef[info["row"] : info["row"] + info["rows"]]
+        for c in info["components"]:
+            c["coef"] = coef[c["row"] : c["row"] + c["across"] * c["down"]]
+    return infos
+
+
+def read_coefficients(data: bytes) -> dict:
+    """``read_files`` of one file."""
+    return read_files([data])[0]
 
 
 def payload_of(read: dict) -> bytes:
     """The payload bytes of a file written by ``encode_payload``."""
-    coef = np.concatenate([c["coef"] for c in read["components"]])[: read["payload"] // 64]
-    out = np.empty(coef.shape, np.uint8)
-    out[:, 0] = coef[:, 0] + 128
-    ac = coef[:, 1:]
-    out[:, 1:] = np.where(ac > 0, ac - 128, -ac)
-    return out.tobytes()
+    return read["coef"][: read["payload"] // 64].astype(np.int8).tobytes()
 
 
-def rgb_tensor(read: dict) -> np.ndarray:
-    """Full-resolution RGB samples, height x width x 3, uint8.
+def _samples(coef: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """8x8 samples of blocks, uint8.
 
     The transform multiplies whole numbers held in doubles, so every sum is exact
     and the samples are the same on every machine.
     """
-    planes = []
-    for c in read["components"]:
-        block = np.empty((len(c["coef"]), 64))
-        block[:, ZIGZAG] = c["coef"] * c["q"]
-        n = len(block)
-        half = (block.reshape(n * 8, 8) @ _BASIS).reshape(n, 8, 8)
-        full = (half.transpose(0, 2, 1).reshape(n * 8, 8) @ _BASIS).reshape(n, 8, 8).transpose(0, 2, 1)
-        full *= 2.0 ** (-2 * _BASIS_BITS)
-        samples = np.clip(np.floor(full + 128.5), 0, 255).astype(np.int32)
-        wide = c["across"]
-        plane = samples.reshape(n // wide, wide, 8, 8).transpose(0, 2, 1, 3).reshape(n // wide * 8, wide * 8)
-        plane = plane.repeat(read["vmax"] // c["v"], 0).repeat(read["hmax"] // c["h"], 1)
-        planes.append(plane[: read["height"], : read["width"]])
-    if len(planes) == 1:
-        return np.repeat(planes[0][:, :, None], 3, 2).astype(np.uint8)
-    y, cb, cr = planes[0] << 16, planes[1] - 128, planes[2] - 128
-    # 16-bit fixed point of 1.402, 0.344136, 0.714136 and 1.772.
-    out = np.empty((*y.shape, 3), np.uint8)
-    half = 1 << 15
-    out[:, :, 0] = np.clip((y + 91881 * cr + half) >> 16, 0, 255)
-    out[:, :, 1] = np.clip((y - 22554 * cb - 46802 * cr + half) >> 16, 0, 255)
-    out[:, :, 2] = np.clip((y + 116130 * cb + half) >> 16, 0, 255)
-    return out
+    n = len(coef)
+    block = np.empty((n, 64))
+    block[:, ZIGZAG] = coef * q
+    half = (block.reshape(n * 8, 8) @ _BASIS).reshape(n, 8, 8)
+    full = (half.transpose(0, 2, 1).reshape(n * 8, 8) @ _BASIS).reshape(n, 8, 8).transpose(0, 2, 1)
+    full *= 2.0 ** (-2 * _BASIS_BITS)
+    return np.clip(np.floor(full + 128.5), 0, 255).astype(np.uint8)
+
+
+def rgb_tensor(read: dict) -> np.ndarray:
+    """Full-resolution RGB samples, height x width x 3, uint8; some rows of MCUs at a time."""
+    out = np.empty((read["mcus"][1] * 8 * read["vmax"], read["mcus"][0] * 8 * read["hmax"], 3), np.uint8)
+    step = max(1, 16_384 // max(c["across"] * c["v"] for c in read["components"]))
+    for top in range(0, read["mcus"][1], step):
+        down = min(step, read["mcus"][1] - top)
+        planes = []
+        for c in read["components"]:
+            wide, high = c["across"], down * c["v"]
+            at = top * c["v"] * wide
+            samples = _samples(c["coef"][at : at + high * wide], c["q"]).reshape(high, wide, 8, 8)
+            plane = samples.transpose(0, 2, 1, 3).reshape(high * 8, wide * 8).astype(np.int32)
+            planes.append(plane.repeat(read["vmax"] // c["v"], 0).repeat(read["hmax"] // c["h"], 1))
+        part = out[top * 8 * read["vmax"] : (top + down) * 8 * read["vmax"]]
+        if len(planes) == 1:
+            part[:] = planes[0][:, :, None]
+            continue
+        y, cb, cr = planes[0] << 16, planes[1] - 128, planes[2] - 128
+        # 16-bit fixed point of 1.402, 0.344136, 0.714136 and 1.772.
+        half = 1 << 15
+        part[:, :, 0] = np.clip((y + 91881 * cr + half) >> 16, 0, 255)
+        part[:, :, 1] = np.clip((y - 22554 * cb - 46802 * cr + half) >> 16, 0, 255)
+        part[:, :, 2] = np.clip((y + 116130 * cb + half) >> 16, 0, 255)
+    return out[: read["height"], : read["width"]]
 
 
 def to_payload(text: str | None) -> tuple[int, bytes]:
@@ -411,44 +694,66 @@ def feature(rgb: np.ndarray) -> str:
 def store(df: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (binary), the progressive JPEG of each text's bytes.
 
-    Null and empty texts are 64 zero bytes; repeated rows give repeated results.
+    Null and empty texts are 64 zero bytes; repeated rows give repeated results;
+    an empty table gives none. Other columns, whatever their names, are left
+    out. A long text is one file, encoded by itself.
     """
 
     def run(cols):
         made = [to_payload(t) for t in cols["text"].to_pylist()]
-        return {"doc_id": cols["doc_id"], "n_bytes": [n for n, _ in made], "media": [encode_payload(p) for _, p in made]}
+        return {"doc_id": cols["doc_id"], "n_bytes": [n for n, _ in made], "media": encode_payloads([p for _, p in made])}
 
-    return map_batches(df.select("doc_id", "text"), run, "doc_id long, n_bytes long, media binary")
+    return map_batches(df.select("doc_id", "text"), run, "doc_id long, n_bytes long, media binary", TEXT_BYTES)
 
 
-def decode_rgb(df: DataFrame) -> DataFrame:
-    """doc_id, height, width and rgb (binary, row-major uint8 tensor) of a media column."""
+def decode(media: DataFrame) -> DataFrame:
+    """The columns doc_id, n_bytes and media with payload (binary, null if the file isn't
+    of ``store``), height, width and rgb, the row-major uint8 tensor.
+
+    A null or empty file has a null payload and an empty tensor.
+    """
 
     def run(cols):
-        tensors = [rgb_tensor(read_coefficients(m)) if m else np.zeros((0, 0, 3), np.uint8) for m in cols["media"].to_pylist()]
-        return {"doc_id": cols["doc_id"], "height": [t.shape[0] for t in tensors], "width": [t.shape[1] for t in tensors], "rgb": [t.tobytes() for t in tensors]}
+        files = cols["media"].to_pylist()
+        reads = read_files([m for m in files if m])
+        out = {"payload": [], "height": [], "width": [], "rgb": []}
+        there = iter(reads)
+        for m in files:
+            read = next(there) if m else None
+            rgb = rgb_tensor(read) if m else np.zeros((0, 0, 3), np.uint8)
+            out["payload"].append(payload_of(read) if m and read["payload"] is not None else None)
+            out["height"].append(rgb.shape[0])
+            out["width"].append(rgb.shape[1])
+            out["rgb"].append(rgb.tobytes())
+        return {k: cols[k] for k in ("doc_id", "n_bytes", "media")} | out
 
-    return map_batches(df.select("doc_id", "media"), run, "doc_id long, height int, width int, rgb binary")
+    return map_batches(
+        media.select("doc_id", "n_bytes", "media"),
+        run,
+        "doc_id long, n_bytes long, media binary, payload binary, height int, width int, rgb binary",
+        TEXT_BYTES,
+        "media",
+    )
 
 
-def digests(media: DataFrame) -> DataFrame:
-    """The registered query's columns, read back from the media column."""
+def digests(decoded: DataFrame) -> DataFrame:
+    """The registered query's columns, from those of ``decode`` on files of ``store``."""
 
     def run(cols):
         out = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-        for m in cols["media"].to_pylist():
-            read = read_coefficients(m)
-            payload = payload_of(read)
+        for m, payload, high, wide, rgb in zip(*(cols[k].to_pylist() for k in ("media", "payload", "height", "width", "rgb"))):
             out["payload_bytes"].append(len(payload))
             out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
             out["tail_crc32"].append(zlib.crc32(payload[-64:]))
             out["media_bytes"].append(len(m))
             out["media_sha256"].append(hashlib.sha256(m).hexdigest())
-            out["feature"].append(feature(rgb_tensor(read)))
+            out["feature"].append(feature(np.frombuffer(rgb, np.uint8).reshape(high, wide, 3)))
         return {"doc_id": cols["doc_id"], "n_bytes": cols["n_bytes"]} | out
 
     return map_batches(
-        media,
+        decoded,
         run,
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+        TEXT_BYTES,
+        "rgb",
     )

@@ -44,7 +44,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import media
 
-    return media.digests(media.store(table(spark, sf_dir, "documents")))
+    return media.digests(media.decode(media.store(table(spark, sf_dir, "documents"))))
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
