@@ -239,3 +239,76 @@ def test_large_values_survive_waves_of_compaction(spark, folder, monkeypatch):
         assert s.get_count() == 95
         assert [(s.get(k) or "none")[:2] for k in (5, 17, 45, 119)] == ["no", "v1", "v2", "v3"]
         assert max(x.level for x in s.manifest.segments) > 0
+
+
+def test_what_a_crashed_writer_left_is_deleted_and_not_counted(spark, folder):
+    import os
+
+    with Store(spark, folder, key="int", auto_flush=2) as s:
+        s.put(1, "a")
+    path = folder.removeprefix("file://")
+    for orphan in ("log/0000000000000009-dead", "segments/L0-dead"):
+        os.makedirs(f"{path}/{orphan}")
+        with open(f"{path}/{orphan}/part-0.parquet", "wb") as f:
+            f.write(bytes(3_000_000))
+    with Store(spark, folder, key="int", auto_flush=2) as s:
+        assert os.listdir(f"{path}/segments") == [] and len(os.listdir(f"{path}/log")) == 1
+        os.makedirs(f"{path}/log/0000000000000010-dead")
+        with open(f"{path}/log/0000000000000010-dead/part-0.parquet", "wb") as f:
+            f.write(bytes(3_000_000))
+        s.put(2, "b")
+        assert len(s.manifest.log) == 2 and s.manifest.segments == []  # no flush
+
+
+def test_every_file_of_a_level_has_its_turn(spark, folder, monkeypatch):
+    from tidefold.operators import compact
+    from tidefold.sources import manifest as M
+
+    monkeypatch.setattr(compact, "level_limit", lambda level, base: 250 if level == 1 else 10**9)
+    with Store(spark, folder, key="int", auto_flush=False) as s:
+        segment = lambda k, lo: M.Segment(k, 1, f"segments/x/{k}", [0, lo], [0, lo + 5], 1, 100)
+        s.manifest = s.manifest.changed(segments=[segment(k, 100 * k) for k in (1, 2, 3)])
+        gone = []
+
+        def merge(inputs, level, cursors):
+            gone.extend(i.lo[1] for i in inputs if i.level == 1)
+            kept = [x for x in s.manifest.segments if x.id not in {i.id for i in inputs}]
+            low = 1 + len(gone)
+            s.manifest = s.manifest.changed(segments=[*kept, segment(10 + low, low)], cursors=cursors)
+
+        monkeypatch.setattr(s, "_merge", merge)
+        for _ in range(4):
+            assert s._compact_once()
+        assert {100, 200, 300} <= set(gone)
+
+
+def test_level_0_holds_some_files_of_any_size(spark, folder):
+    with Store(spark, folder, segment_bytes=1_000_000) as s:
+        assert s.level_mb == 5
+
+
+def test_int_keys_end_at_64_bits(spark, folder):
+    from pyspark.sql import functions as F
+
+    from tidefold.functions import keys as K
+
+    odd = ["1e30", "-1e30", "Infinity", "-Infinity", "NaN", "x", "9.9", "-9.9", str(10**400)]
+    frame = spark.createDataFrame([(x,) for x in odd], "k string")
+    column = [r[0] for r in frame.select(K.normalize(F.col("k"), "int", frame.schema["k"].dataType)).collect()]
+    assert [K.python_key(x, "int") for x in odd] == column == [2**63 - 1, -(2**63), 2**63 - 1, -(2**63), 0, 0, 9, -9, 2**63 - 1]
+    assert K.python_key(10**30, "int") == 2**63 - 1 and K.python_key(10**400, "float") == float("inf")
+    with Store(spark, folder, key="int") as s:
+        s.put("1e30", "big")
+        assert s.get("1e30") == s.get(float("inf")) == s.get(10**25) == "big" and s.get("2") is None
+
+
+def test_filters_on_keys_of_any_kind_reach_the_files(spark, folder):
+    with Store(spark, folder, auto_flush=False) as s:
+        s.batch([{"type": "put", "key": k, "value": str(k)} for k in (1, 2.5, 7, "a", "b", b"a")])
+        s.flush_log()
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(key.num,7.0)" in plan(s.range_frame(7, 7)) or "GreaterThanOrEqual(key.num,7.0)" in plan(s.range_frame(7, 7))
+        assert "GreaterThanOrEqual(key.str,a)" in plan(s.range_frame("a", "b"))
+        assert "LessThanOrEqual(key.kind,0)" in plan(s.query_frame(lt=3))
+        assert [k for k, _ in s.range_it(2, "a")] == [2.5, 7, "a"] and [k for k, _ in s.query_it(gt="a")] == ["b", b"a"]
+        assert s.get(2.5) == "2.5" and s.get(b"a") == str(b"a") and s.get("c") is None

@@ -51,7 +51,7 @@ def normalize(value: Column, mode: str, source: T.DataType | None = None) -> Col
     """``value`` as a key of ``mode``.
 
     ``int`` and ``float`` read numbers from text; what can't be read becomes 0,
-    and ``int`` cuts towards zero. ``any`` needs the type of the source column.
+    and ``int`` cuts towards zero and to 64 bits. ``any`` needs the type of the source column.
     """
     if mode == "string":
         return value.cast("string")
@@ -75,7 +75,8 @@ def normalize(value: Column, mode: str, source: T.DataType | None = None) -> Col
 def python_key(value, mode: str):
     """A Python value as a key of ``mode``; a tuple (kind, num, str, bin) for ``any``.
 
-    Raises ValueError for None and, where order needs a number, for NaN.
+    As ``normalize``: ``int`` keys end at 64 bits. Raises ValueError for None and,
+    where order needs a number, for NaN.
     """
     if value is None:
         raise ValueError(messages.NULL_KEY)
@@ -84,15 +85,20 @@ def python_key(value, mode: str):
     if mode == "string":
         return value.decode("utf-8", "replace") if isinstance(value, bytes) else str(value)
     if mode in ("int", "float"):
+        whole = lambda n: max(-(1 << 63), min((1 << 63) - 1, n))
         if mode == "int" and isinstance(value, int):
-            return int(value)
+            return whole(int(value))
         try:
             number = float(value)
+        except OverflowError:
+            number = math.inf if value > 0 else -math.inf
         except (TypeError, ValueError):
             return 0 if mode == "int" else 0.0
         if mode == "float":
             return 0.0 if math.isnan(number) else number
-        return int(number) if math.isfinite(number) else 0
+        if math.isnan(number):
+            return 0
+        return whole(int(number)) if math.isfinite(number) else whole(1 << 64 if number > 0 else -(1 << 64))
     if mode == "buffer":
         return value if isinstance(value, bytes) else str(value).encode()
     if isinstance(value, bytes):
@@ -124,6 +130,32 @@ def literal(value, mode: str) -> Column:
     return any_key(k[0], F.lit(k[1 + k[0]]))
 
 
+def bound(key: Column, test: str, value, mode: str) -> Column:
+    """``key`` compared (eq, ge, gt, le or lt) with a Python key.
+
+    Of ``any`` keys the parts are compared too: that is implied, and unlike a
+    comparison of whole structs it reaches the files.
+    """
+    compare = {"eq": "__eq__", "ge": "__ge__", "gt": "__gt__", "le": "__le__", "lt": "__lt__"}[test]
+    whole = getattr(key, compare)(literal(value, mode))
+    if mode != "any":
+        return whole
+    kind, *parts = python_key(value, mode)
+    if test == "eq":
+        return (key["kind"] == F.lit(kind).cast("tinyint")) & (key[("num", "str", "bin")[kind]] == F.lit(parts[kind])) & whole
+    return getattr(key["kind"], "__ge__" if test[0] == "g" else "__le__")(F.lit(kind).cast("tinyint")) & whole
+
+
+def within(key: Column, lo, hi, mode: str) -> Column:
+    """``key`` from lo to hi, both included."""
+    both = bound(key, "ge", lo, mode) & bound(key, "le", hi, mode)
+    if mode != "any":
+        return both
+    (a, *low), (b, *high) = python_key(lo, mode), python_key(hi, mode)
+    part = key[("num", "str", "bin")[a]]
+    return (part >= F.lit(low[a])) & (part <= F.lit(high[b])) & both if a == b else both
+
+
 def _number_text(num: Column) -> Column:
     """Whole numbers without a decimal point, others in their shortest form."""
     whole = (num == F.floor(num)) & (F.abs(num) < F.lit(float(1 << 63)))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.keys import literal
+from ..functions.keys import bound, within
 
 
 @dataclass
@@ -64,7 +64,7 @@ def _key_order(reverse: bool) -> Column:
 
 def between(view: DataFrame, lo, hi, mode: str) -> DataFrame:
     """Keys from lo to hi, both included; unordered."""
-    return view.where((F.col("key") >= literal(lo, mode)) & (F.col("key") <= literal(hi, mode)))
+    return view.where(within(F.col("key"), lo, hi, mode))
 
 
 def bounded(view: DataFrame, args: QueryArgs, mode: str) -> DataFrame:
@@ -75,10 +75,9 @@ def bounded(view: DataFrame, args: QueryArgs, mode: str) -> DataFrame:
             gt, gte = gte, gt
         else:
             lt, lte = lte, lt
-    key = F.col("key")
-    for bound, test in ((gt, key.__gt__), (gte, key.__ge__), (lt, key.__lt__), (lte, key.__le__)):
-        if bound is not None:
-            view = view.where(test(literal(bound, mode)))
+    for key, test in ((gt, "gt"), (gte, "ge"), (lt, "lt"), (lte, "le")):
+        if key is not None:
+            view = view.where(bound(F.col("key"), test, key, mode))
     return view
 
 
@@ -121,7 +120,7 @@ def page(view: DataFrame, offset: int, limit: int | None = None, reverse: bool =
 
 
 def get(view: DataFrame, key, mode: str) -> DataFrame:
-    return view.where(F.col("key") == literal(key, mode))
+    return view.where(bound(F.col("key"), "eq", key, mode))
 
 
 def get_many(keys: DataFrame, view: DataFrame) -> DataFrame:

@@ -2,9 +2,40 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+from functools import lru_cache
+
 from pyspark.sql import SparkSession
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share; it goes when the driver ends.
+
+    It lies in ``spark.checkpoint.dir``; only where that is unset and Spark runs on one
+    machine, in a temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local()
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    own = Folder(spark, path)
+    own.fs.deleteOnExit(own._path(""))
+    return path
+
+
+@lru_cache(1)
+def _local() -> str:
+    folder = tempfile.mkdtemp(prefix="tidefold-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
 class Folder:
     """A directory of the table. Names are relative to it."""
 

@@ -10,6 +10,11 @@ from ..functions.keys import key_type
 from ..functions.values import intact, record_crc
 
 
+def key_leaves(mode: str) -> list[str]:
+    """Parquet columns of a key."""
+    kind = key_type(mode)
+    return [f"key.{f.name}" for f in kind] if isinstance(kind, T.StructType) else ["key"]
+
 
 def log_schema(mode: str) -> T.StructType:
     return T.StructType(

@@ -38,7 +38,8 @@ class Manifest:
     next_segment: int = 0
     log: list[str] = field(default_factory=list)
     segments: list[Segment] = field(default_factory=list)
-    cursors: dict[str, int] = field(default_factory=dict)
+    #: Level -> last key, as stored, of what was moved down last.
+    cursors: dict[str, list] = field(default_factory=dict)
 
     def at_level(self, level: int) -> list[Segment]:
         return [s for s in self.segments if s.level == level]

@@ -37,8 +37,9 @@ class Store:
     refused. ``cache`` persists the folded view. ``auto_flush`` is the size of
     the log in MB beyond which a write flushes it; False never does.
     ``segment_bytes`` is the size of a segment file and ``level_mb`` what level 0
-    holds in MB; each level below holds ten times as much. Raise both for large tables.
-    One writer at a time: opening takes a lock file, ``force`` breaks a stale one.
+    holds in MB, some files by default; each level below holds ten times as much. Raise both
+    for large tables. One writer at a time: opening takes a lock file, ``force``
+    breaks a stale one, and deletes what a crashed writer left unpublished.
     """
 
     version = VERSION
@@ -56,7 +57,7 @@ class Store:
     ):
         K.key_type(key)
         self.segment_bytes = segment_bytes or compact.SEGMENT_BYTES
-        self.level_mb = level_mb or compact.LEVEL_MB
+        self.level_mb = level_mb or compact.LEVEL_FILES * self.segment_bytes / 1_000_000
         self.spark, self.path, self.key_type, self.memory_cache, self.auto_flush = spark, path.rstrip("/"), key, cache, auto_flush
         self.events, self._folder = Events(), Folder(spark, path)
         self._open, self._compacting, self._tx = False, False, None
@@ -81,6 +82,9 @@ class Store:
             self._folder.delete("LOCK")
             raise
         self.manifest, self._open = found, True
+        self._vacuum()
+        #: Bytes of each batch of the log.
+        self._log_bytes = {n: self._folder.size(f"log/{n}") for n in found.log}
         self.events.trigger("ready")
 
     # Lifecycle
@@ -386,6 +390,7 @@ class Store:
         full = frame.select(F.lit(m.next_seq).cast("long").alias("seq"), F.lit(tx).cast("long").alias("tx"), *frame.columns)
         batch = f"{m.next_seq:016d}-{uuid.uuid4().hex[:8]}"
         L.with_crc(full, self.key_type).write.parquet(f"{self.path}/log/{batch}")
+        self._log_bytes[batch] = self._folder.size(f"log/{batch}")
         self._commit(m.changed(next_seq=m.next_seq + 1, log=[*m.log, batch]))
         if tx is None:
             self._maybe_flush()
@@ -465,7 +470,7 @@ class Store:
         if self.auto_flush is False or self._tx is not None or self._compacting:
             return
         limit = (2 if self.auto_flush is True else self.auto_flush) * 1_000_000
-        if self._folder.size("log") > limit:
+        if sum(self._log_bytes.get(n, 0) for n in self.manifest.log) > limit:
             self.flush_log()
 
     def flush_log(self) -> None:
@@ -483,10 +488,11 @@ class Store:
                     self._committed(), F.struct("seq", "ord"), ["seq", "ord", *_CARRY], tombstones=True
                 )
                 old = self.manifest.log
-                new = self._write_run(folded, 0, sum(self._folder.size(f"log/{n}") for n in old))
+                new = self._write_run(folded, 0, sum(self._log_bytes.values()))
                 self._commit(self.manifest.changed(log=[], segments=[*self.manifest.segments, *new], next_segment=self._next))
                 for n in old:
                     self._folder.delete(f"log/{n}")
+                self._log_bytes = {}
             while self._compact_once():
                 pass
         finally:
@@ -507,7 +513,8 @@ class Store:
         n = max(1, -(-size // self.segment_bytes))
         folder = f"segments/L{level}-{uuid.uuid4().hex}"
         cut = rows.select(*L.segment_schema(self.key_type).names).repartitionByRange(int(n), "key").sortWithinPartitions("key")
-        cut.write.option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.path}/{folder}")
+        blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in L.key_leaves(self.key_type)}
+        cut.write.options(**blooms).parquet(f"{self.path}/{folder}")
         names = sorted(x for x in self._folder.names(folder) if x.endswith(".parquet"))
         done = L.read_segments(self.spark, [f"{self.path}/{folder}"], self.key_type)
         stats = {
@@ -525,20 +532,30 @@ class Store:
         return out
 
     def _compact_once(self) -> bool:
-        """Move one segment of the first level above its limit down; False if none is."""
+        """Move what is too much in the first level above its limit down, in one job; False if none is."""
         for level in range(max((s.level for s in self.manifest.segments), default=-1) + 1):
             own = self.manifest.at_level(level)
-            if sum(s.bytes for s in own) <= compact.level_limit(level, self.level_mb):
+            over = sum(s.bytes for s in own) - compact.level_limit(level, self.level_mb)
+            if over <= 0:
                 continue
             if level == 0:
-                # Level 0 runs overlap: the oldest goes, with older ones it overlaps (none).
-                pick = min(own, key=lambda s: s.id)
+                # Level 0 runs overlap: the oldest go.
+                turn = sorted(own, key=lambda s: s.id)
             else:
-                cursor = self.manifest.cursors.get(str(level), -1)
+                # The keys after those that went last, so that none wait for ever.
+                last = self.manifest.cursors.get(str(level))
                 ordered = sorted(own, key=lambda s: _order(s.lo))
-                pick = next((s for s in ordered if s.id > cursor), ordered[0])
-            below = [s for s in self.manifest.at_level(level + 1) if _overlap(s, pick)]
-            self._merge([pick, *below], level + 1, {**self.manifest.cursors, str(level): pick.id})
+                after = [s for s in ordered if isinstance(last, list) and _order(s.lo) > _order(last)]
+                turn = after or ordered
+            picks, moved = [], 0
+            for s in turn:
+                if moved >= over:
+                    break
+                picks.append(s)
+                moved += s.bytes
+            lo, hi = min((s.lo for s in picks), key=_order), max((s.hi for s in picks), key=_order)
+            below = [s for s in self.manifest.at_level(level + 1) if _order(s.lo) <= _order(hi) and _order(lo) <= _order(s.hi)]
+            self._merge([*picks, *below], level + 1, {**self.manifest.cursors, str(level): picks[-1].hi})
             return True
         return False
 
@@ -555,11 +572,12 @@ class Store:
         self._vacuum()
 
     def _vacuum(self) -> None:
-        """Delete segment folders that no segment of the manifest is in."""
+        """Delete log batches and segment folders that the manifest doesn't name."""
         used = {s.file.split("/")[1] for s in self.manifest.segments}
-        for n in self._folder.names("segments"):
-            if n not in used:
-                self._folder.delete(f"segments/{n}")
+        for folder, named in (("segments", used), ("log", set(self.manifest.log))):
+            for n in self._folder.names(folder):
+                if n not in named:
+                    self._folder.delete(f"{folder}/{n}")
 
     def empty(self) -> None:
         """Drop all data: a manifest without files first, then the files."""
@@ -568,9 +586,8 @@ class Store:
             self.abort_tx()
         self._commit(self.manifest.changed(log=[], segments=[], cursors={}))
         self._forget()
-        for n in self._folder.names("log"):
-            self._folder.delete(f"log/{n}")
         self._vacuum()
+        self._log_bytes = {}
         self.events.trigger("clear")
 
 
