@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, values
 from ..operators import compact, fold, scan
+from ..sources import log as logs
+from ..sources.files import scratch
 
 WANTED = (1, 42, -5, 99999999)
 
@@ -85,7 +87,7 @@ def tx_dirty_keys(spark, d) -> DataFrame:
 
 
 def batch_apply(spark, d) -> DataFrame:
-    return fold.apply_batch(orders_view(spark, d), event_log(spark, d).where("seq < 200"))
+    return fold.apply_batch(orders_view(spark, d), event_log(spark, d))
 
 
 def lsm_merge_levels(spark, d) -> DataFrame:
@@ -95,8 +97,60 @@ def lsm_merge_levels(spark, d) -> DataFrame:
 
 
 def lsm_tombstone_purge(spark, d) -> DataFrame:
+    """Tombstones of the newer half of the log, judged against its older half."""
     log = event_log(spark, d)
-    return compact.purge_marks(log.where((F.col("op") == fold.DELETE) & (F.col("seq") >= 500)), log.where("seq < 100"))
+    half = log.agg(F.max("seq")).first()[0] or 0
+    newer = log.where((F.col("op") == fold.DELETE) & (F.col("seq") * 2 >= half))
+    return compact.purge_marks(newer, log.where(F.col("seq") * 2 < half))
+
+
+def _compacted(spark, d):
+    """A store with the event log in three flushed runs, merged into one; closed."""
+    from ..store import Store
+
+    log = event_log(spark, d)
+    third = (log.agg(F.max("seq")).first()[0] or 0) // 3 + 1
+    with Store(spark, scratch(spark), key="int", auto_flush=False) as store:
+        for k in range(3):
+            own = log.where(F.floor(F.col("seq") / third) == k)
+            store.put_many(own.select("key", "value", "op", F.col("seq").alias("ord")))
+            store.flush_log()
+        store.compact(force=True)
+        return store.view(), store.manifest.segments
+
+
+def lsm_store_compaction(spark, d) -> DataFrame:
+    """The event log written to a store, flushed, merged, purged and read back."""
+    return _compacted(spark, d)[0].select("key", "value")
+
+
+def lsm_store_segments(spark, d) -> DataFrame:
+    """Keys, least and greatest key, and pairs of overlapping segments of that store's manifest."""
+    segments = _compacted(spark, d)[1]
+    ranges = [(s.id, s.lo[1], s.hi[1], s.rows) for s in segments]
+    frame = spark.createDataFrame(ranges, "seg long, lo long, hi long, n long")
+    pairs = compact.overlapping(frame.select("seg", "lo", "hi")).count()
+    return frame.agg(F.sum("n").alias("n_keys"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.lit(pairs).cast("long").alias("overlaps"))
+
+
+def log_replay_crc(spark, d) -> DataFrame:
+    """The event log as a batch of a store's log in which some values are torn, read back and folded."""
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = event_log(spark, d).select(
+        "seq", F.lit(0).cast("long").alias("ord"), null("long").alias("tx"), "op", "key", "value", null("binary").alias("data")
+    )
+    torn = F.when(F.col("seq") % 97 == 0, F.concat("value", F.lit("x"))).otherwise(F.col("value"))
+    path = scratch(spark)
+    logs.with_crc(rows, "int").withColumn("value", torn).write.parquet(path)
+    return fold.fold(logs.read_log(spark, [path], "int"), carry=["value"])
+
+
+def key_decode_any(spark, d) -> DataFrame:
+    """Keys of every kind, encoded and decoded again."""
+    back = keys.decode(keys.encode(F.col("key"), "any"), "any")
+    decoded = mixed_view(spark, d).select(back.alias("key"), "value")
+    text = F.coalesce(F.col("key.str"), F.hex("key.bin"))
+    return decoded.select(F.col("key.kind").cast("int").alias("kind"), F.col("key.num").alias("num"), text.alias("str"), "value")
 
 
 def lsm_segment_manifest(spark, d) -> DataFrame:
@@ -105,8 +159,7 @@ def lsm_segment_manifest(spark, d) -> DataFrame:
 
 
 def lsm_overlapping_segments(spark, d) -> DataFrame:
-    rows = _table(spark, d, "events").where("event_id < 1000")
-    ranges = rows.groupBy(F.floor(F.col("event_id") / 250).cast("long").alias("seg")).agg(
+    ranges = _table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 250).cast("long").alias("seg")).agg(
         F.min("user_id").alias("lo"), F.max("user_id").alias("hi")
     )
     return compact.overlapping(ranges)
@@ -194,9 +247,13 @@ QUERIES = {
     "lsm_tombstone_purge": lsm_tombstone_purge,
     "lsm_segment_manifest": lsm_segment_manifest,
     "lsm_overlapping_segments": lsm_overlapping_segments,
+    "lsm_store_compaction": lsm_store_compaction,
+    "lsm_store_segments": lsm_store_segments,
     "log_replay_checksum": log_replay_checksum,
+    "log_replay_crc": log_replay_crc,
     "key_rank": lambda s, d: scan.rank(customers_view(s, d)).where("rnk in (0, 10, 42, 149)").select("key", "rnk"),
     "any_key_order": any_key_order,
+    "key_decode_any": key_decode_any,
     "key_encode_int": lambda s, d: _encoded(s, d, "int"),
     "key_encode_buffer": lambda s, d: _encoded(s, d, "buffer"),
     "value_encode_base64": value_encode_base64,
@@ -234,10 +291,11 @@ def _placed(src: str, columns: str = "key,value", where: str = "true", way: str
     return f"SELECT row_number() OVER (ORDER BY key {way}) AS pos,{columns} FROM {src} t WHERE {where}"
 
 
+_LAST = "(SELECT max(event_id) FROM events)"
 _KEYS = "(VALUES (CAST(1 AS BIGINT)),(42),(-5),(99999999)) k(key)"
 _RANGES = (
     "(SELECT CAST(floor(event_id/250) AS BIGINT) AS seg,min(user_id) AS lo,max(user_id) AS hi FROM events"
-    " WHERE event_id<1000 GROUP BY 1)"
+    " GROUP BY 1)"
 )
 _SEG = (
     "(SELECT CAST(floor(before/20000) AS BIGINT) AS seg,key,bytes FROM (SELECT key,bytes,sum(bytes) OVER (ORDER BY key"
@@ -271,12 +329,16 @@ ORACLE = {
     "tx_committed_state": f"SELECT key,value FROM {_state(_TX, 'outcome IN (' + chr(39) + 'auto' + chr(39) + ',' + chr(39) + 'commit' + chr(39) + ')')} s",
     "tx_outcome_counts": f"SELECT outcome,count(DISTINCT txid) AS n_tx,count(*) AS n_ops FROM {_TX} t GROUP BY outcome",
     "tx_dirty_keys": f"SELECT DISTINCT key FROM {_TX} t WHERE outcome IN ('abort','open')",
-    "batch_apply": f"SELECT key,value FROM (SELECT key,op,value,row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM (SELECT CAST(-1 AS BIGINT) AS seq,key,'put' AS op,value FROM {_ORD} o UNION ALL SELECT event_id,user_id,{_OP},props FROM events WHERE event_id<200) u) r WHERE rn=1 AND op='put'",
+    "batch_apply": f"SELECT key,value FROM (SELECT key,op,value,row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM (SELECT CAST(-1 AS BIGINT) AS seq,key,'put' AS op,value FROM {_ORD} o UNION ALL SELECT event_id,user_id,{_OP},props FROM events) u) r WHERE rn=1 AND op='put'",
     "lsm_merge_levels": f"SELECT key,value FROM (SELECT key,op,value,row_number() OVER (PARTITION BY key ORDER BY lvl,seq DESC) AS rn FROM (SELECT CASE WHEN seq%1000>=800 THEN 0 WHEN seq%1000>=400 THEN 1 ELSE 2 END AS lvl,* FROM {_LOG} l) u) r WHERE rn=1 AND op='put'",
-    "lsm_tombstone_purge": f"SELECT l0.key, (deep.key IS NOT NULL) AS keep FROM (SELECT DISTINCT key FROM {_LOG} a WHERE op='del' AND seq>=500) l0 LEFT JOIN (SELECT DISTINCT key FROM {_LOG} b WHERE seq<100) deep ON l0.key=deep.key",
+    "lsm_tombstone_purge": f"SELECT l0.key, (deep.key IS NOT NULL) AS keep FROM (SELECT DISTINCT key FROM {_LOG} a WHERE op='del' AND seq*2>={_LAST}) l0 LEFT JOIN (SELECT DISTINCT key FROM {_LOG} b WHERE seq*2<{_LAST}) deep ON l0.key=deep.key",
     "lsm_segment_manifest": f"SELECT seg,min(key) AS lo,max(key) AS hi,count(*) AS n_keys,CAST(sum(bytes) AS BIGINT) AS bytes FROM {_SEG} s GROUP BY seg",
     "lsm_overlapping_segments": f"SELECT a.seg AS seg_a,b.seg AS seg_b FROM {_RANGES} a JOIN {_RANGES} b ON a.lo<=b.hi AND b.lo<=a.hi AND a.seg<b.seg",
     "log_replay_checksum": f"SELECT key,value FROM {_state(_LOG, 'sha1(CASE WHEN seq%97=0 THEN concat(value,chr(120)) ELSE value END)=sha1(value)')} s",
+    "lsm_store_compaction": f"SELECT key,value FROM {_state(_LOG)} s",
+    "lsm_store_segments": f"SELECT CAST(count(*) AS BIGINT) AS n_keys,min(key) AS lo,max(key) AS hi,CAST(0 AS BIGINT) AS overlaps FROM {_state(_LOG)} s",
+    "log_replay_crc": f"SELECT key,value FROM {_state(_LOG, 'seq%97<>0 OR op=' + chr(39) + 'del' + chr(39))} s",
+    "key_decode_any": f"SELECT kind,num,str,value FROM {_ANY} t",
     "key_rank": f"SELECT key,rnk FROM (SELECT key,row_number() OVER (ORDER BY key)-1 AS rnk FROM {_CUS} t) x WHERE rnk IN (0,10,42,149)",
     "any_key_order": f"SELECT row_number() OVER (ORDER BY kind,num,str) AS pos,kind,num,str,value FROM {_ANY} t",
     "key_encode_int": "SELECT o_orderkey AS key, concat('n>',CAST(o_orderkey AS VARCHAR(32))) AS enc FROM orders",
