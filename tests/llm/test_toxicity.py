@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidefold.llm import toxicity as T
 
@@ -83,6 +84,43 @@ def test_score_does_not_depend_on_the_batch(net):
     assert together[40] == together[41] == 0
 
 
+def plain_score(net, text):
+    """A text's score by the definition: one window, one word and one unit at a time."""
+    import math
+
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    p, h, words = {k: v.astype(float) for k, v in net.p.items()}, T.HIDDEN, T.words_of(text)
+    worst = -math.inf
+    for start in T.windows(len(words)):
+        inputs = []
+        for w in words[start : start + T.WINDOW]:
+            row, grams, _ = T.word_inputs([w])
+            chars = [sum(p["Ec"][g][j] for g in grams) / math.sqrt(len(grams)) for j in range(T.CHAR_DIM)]
+            inputs.append([*p["Ew"][row[0]], *chars])
+        states = [[] for _ in inputs]
+        for k in "fb":
+            s = [0.0] * h
+            for t in range(len(inputs)) if k == "f" else range(len(inputs) - 1, -1, -1):
+                x = [sum(a * p[f"W{k}"][i][j] for i, a in enumerate(inputs[t])) + p[f"c{k}"][j] for j in range(3 * h)]
+                back = lambda v, j: sum(a * p[f"U{k}"][i][j] for i, a in enumerate(v))  # noqa: B023, E731
+                z = [sig(x[j] + back(s, j)) for j in range(h)]
+                r = [sig(x[h + j] + back(s, h + j)) for j in range(h)]
+                rs = [a * b for a, b in zip(r, s)]
+                s = [s[j] + z[j] * (math.tanh(x[2 * h + j] + back(rs, 2 * h + j)) - s[j]) for j in range(h)]
+                states[t] += s
+        hidden = [[math.tanh(sum(a * p["A"][i][j] for i, a in enumerate(s))) for j in range(h)] for s in states]
+        weight = [math.exp(sum(a * b for a, b in zip(e, p["v"]))) for e in hidden]
+        pooled = [sum(w * s[j] for w, s in zip(weight, states)) / sum(weight) for j in range(2 * h)]
+        worst = max(worst, sum(a * b for a, b in zip(pooled, p["o"])) + p["b"][0])
+    return sig(worst - net.shift)
+
+
+def test_scores_match_a_plain_loop(net):
+    texts = [r[1] for r in corpus(6, 8)] + ["one", "a" * 60 + " !! b", " ".join(f"w{k}" for k in range(150))]
+    got = net.scorer().scores(texts)
+    assert np.allclose(got, [plain_score(net, t) for t in texts], atol=1e-4)
+
+
 def test_query_columns_and_odd_rows(spark, documents, net):
     rows = [(1, "vilescum nastyrot vilescum"), (2, None), (3, ""), (None, "bala cedo"), (1, "vilescum nastyrot vilescum"), (4, "fila " * 4000)]
     got = T.score(documents(rows), net).collect()
@@ -105,6 +143,8 @@ def test_fit_leaves_out_held_out_rows_and_odd_labels(spark, documents, monkeypat
     )
     T.fit(docs, labels, per_class=1000)
     assert seen["n"] == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(60))
+    T.fit(docs.union(docs.where("doc_id = 2").withColumn("text", F.repeat(F.lit("ab "), T.MOST_CHARS))), labels, per_class=1000)
+    assert seen["n"] == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(60))
     T.fit(docs, labels, per_class=5)
     assert seen["n"] == 10 and sum(seen["labels"]) == 5
 
