@@ -1,14 +1,17 @@
 """N-gram Jaccard join by parity sketches.
 
-A document's set holds the hashes of its distinct word shingles. A sketch is an
-array of parities: each shingle is XORed into one place, so the number of places
-in which two sketches differ is at most the size of the sets' symmetric
-difference. At similarity 85/100 that difference is at most ``3 a / 17`` for a
-smaller set of ``a`` shingles. Sketches for candidates are made per size band,
-with more places than the band's largest difference and 64 bits a place: two
-linked sets agree in at least one whole place (pigeonhole). A set is keyed in the
-band of its size, and in the one below for partners there. A second, wide sketch
-has a bit a place; its Hamming distance sifts candidates before they are verified.
+A document's set holds the hashes of its distinct word shingles. A sketch is a row
+of bits, each the parity of the shingles that hash to it, so the Hamming distance
+of two sketches is at most the size of the sets' symmetric difference. At
+similarity 85/100 that difference is at most ``3 a / 17`` for a smaller set of
+``a`` shingles. Each size band has a sketch cut into more chunks, of CHUNK_BITS bits each,
+than the band's largest difference: two linked sets agree in at least one whole
+chunk (pigeonhole), and chunks are the keys of the join. That takes about one
+chunk for five shingles, whatever the size of a chunk. Chunks are sparse and never laid out: a chunk's key is
+the XOR of a random number for each of its bits that is set. A set is keyed in
+the band of its size, and in the one below for partners there. A second, short
+sketch of all shingles is kept with each class; its Hamming distance
+sifts candidates before they are verified.
 
 Sets that are equal are one class from the start. Classes that share a key are
 candidates: first each with the one class of the key that shares most with others
@@ -34,7 +37,8 @@ from .common import WordHashes, connected, cut_lineage, free_shuffles, map_batch
 
 #: Similarity as a fraction and words to a shingle.
 NUMERATOR, DENOMINATOR, SHINGLE = 85, 100, 4
-SKETCH_WORDS = 16
+#: Bits of a chunk of a band's sketch, and 64-bit words of the short sketch.
+CHUNK_BITS, SKETCH_WORDS = 1 << 20, 16
 #: Text that a Python worker takes at a time.
 TEXT_BYTES = 1_000_000
 _SKETCH = [f"k{i}" for i in range(SKETCH_WORDS)]
@@ -71,10 +75,10 @@ class Bands:
         return int(np.searchsorted(self.high, size))
 
     def places(self, band: int) -> tuple[int, int]:
-        """(places of the band's sketches, agreeing ones that a linked pair has at least).
+        """(chunks of the band's sketches, agreeing ones that a linked pair has at least).
 
-        The sets of a pair agree in all but ``difference`` places. Some more are
-        added so that a set has rarely as many empty places as must agree.
+        The sketches of a pair agree in all but ``difference`` chunks. Some more are
+        added so that a set has rarely as many empty chunks as must agree.
         """
         least = self.difference(self.high[band]) + 1
         if least == 1:
@@ -84,11 +88,11 @@ class Bands:
         return least + more, 1 + more
 
     def keys(self, s: np.ndarray) -> list[np.ndarray]:
-        """Keys of one sorted set: the places of its sketch in its bands.
+        """Keys of one sorted set: the chunks of its sketch in its bands.
 
-        Empty places say little: they are keyed only by a set that has as many
+        Empty chunks say little: they are keyed only by a set that has as many
         as must agree. Of a linked pair, either both sets are such, or they agree
-        in a place that isn't empty.
+        in a chunk that isn't empty.
         """
         own, out = self.of(len(s)), []
         for band in (own - 1, own):
@@ -97,10 +101,10 @@ class Bands:
             places, agree = self.places(band)
             if places == 1:
                 continue  # only equal sets, which are one class already
-            # Hashes are sorted, so the places are too.
+            # Hashes are sorted, so the chunks are too. Two shingles on one bit cancel, as parities do.
             place = ((s >> np.uint64(32)) * np.uint64(places)) >> np.uint64(32)
             first = np.flatnonzero(np.diff(place, prepend=np.uint64(places)))
-            words = np.bitwise_xor.reduceat(mix(s, np.uint64(5)), first)
+            words = np.bitwise_xor.reduceat(mix(s & np.uint64(CHUNK_BITS - 1), np.uint64(5)), first)
             at = place[first]
             if places - len(at) >= agree:
                 full = np.zeros(places, np.uint64)
@@ -145,7 +149,7 @@ def set_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def key_table(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """(key, s1) for every place of every set's sketches; equal sets near one another once."""
+    """(key, s1) for every chunk of every set's sketches; equal sets near one another once."""
     sets, bands, seen = Sets(shingle), Bands(num, den), set()
 
     def run(cols):
@@ -219,8 +223,10 @@ def join_components(
     """doc_id, n_shingles and component_id of every row.
 
     Documents without words have no shingles, are linked with nothing and are
-    their own component. Repeated rows give repeated results. Equality of sets is
-    judged by 128-bit, candidates by 64-bit fingerprints.
+    their own component. Repeated rows give repeated results, an empty table none.
+    A long text is one set of all its shingles. Other columns of ``docs``, whatever
+    their names, are left out. Equality of sets is judged by 128-bit, candidates by
+    64-bit fingerprints.
     """
     docs = docs.select("doc_id", "text")
     sets = cut_lineage(set_table(docs, shingle))
