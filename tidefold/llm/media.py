@@ -47,7 +47,7 @@ _TAG = b"tidefold"
 #: Units (MCUs, in AC scans blocks) between restart markers.
 RESTART = 32
 #: Text that a Python worker takes at a time, and coefficients that it decodes at a time.
-TEXT_BYTES, GROUP = 2_000_000, 1 << 22
+TEXT_BYTES, GROUP = 1_000_000, 1 << 22
 
 Table = tuple[tuple[int, ...], tuple[int, ...]]
 #: The format's usual DC table, as counts by length and symbols.
@@ -82,14 +82,18 @@ def _codes(table: Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(64)
-def _lookup(table: Table) -> np.ndarray:
-    """The next 16 bits -> bits of the code << 8 | symbol; 0 where no code fits."""
+def _lookup(table: Table, dc: bool) -> np.ndarray:
+    """The next 16 bits -> symbol, bits of its code << 8, extra bits that follow << 16 and, for
+    an end of band, 1 << 24; 0 where no code fits.
+    """
     value, bits = _codes(table)
-    out = np.zeros(1 << 16, np.int32)
+    out = np.zeros(1 << 16, np.int64)
     for s in table[1]:
         n = int(bits[s])
         first = int(value[s]) << (16 - n)
-        out[first : first + (1 << (16 - n))] = n << 8 | s
+        ends = not dc and s & 15 == 0 and s >> 4 < 15
+        extra = s & 15 if not ends else s >> 4
+        out[first : first + (1 << (16 - n))] = ends << 24 | extra << 16 | n << 8 | s
     return out
 
 
@@ -419,22 +423,26 @@ class _Lanes:
         self.first = np.cumsum(self.count) - self.count
         self.order = np.concatenate([o.reshape(-1) for o in orders])
         self.tables, self.luts = np.array(tables, np.int64), luts
-
-    def take(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """``n`` (at most 16) bits from ``at`` on."""
-        where = np.minimum(at >> 3, len(self.window) - 1)
-        return self.window[where].astype(np.int64) >> (32 - (at & 7) - n) & ((1 << n) - 1)
+        self.wide = bool(((luts >> 8 & 255) + (luts >> 16 & 15)).max() > 25)
 
     def bit(self, at: np.ndarray) -> np.ndarray:
         """The bit at each place, uint8."""
-        return self.raw[np.minimum(at >> 3, len(self.raw) - 1)] >> (~at & 7).astype(np.uint8) & 1
-
-    def symbol(self, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(symbol, place after its code)."""
-        found = self.luts[table + self.take(at, 16)]
-        if not found.all():
-            raise ValueError("no such code")
-        return found & 255, at + (found >> 8)
+        return self.raw.take(at >> 3, mode="clip") >> (~at & 7).astype(np.uint8) & 1
+
+    def symbol(self, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(what ``_lookup`` says, extra bits, place after them)."""
+        skip = at & 7
+        window = self.window.take(at >> 3, mode="clip").astype(np.int64)
+        found = self.luts.take(table + (window >> (16 - skip) & 0xFFFF))
+        code, extra = found >> 8 & 255, found >> 16 & 15
+        used = skip + code + extra
+        bits = window >> np.maximum(32 - used, 0) & ((1 << extra) - 1)
+        if self.wide:  # a code and its extra bits may not fit the window
+            far = np.flatnonzero(used > 32)
+            start = (at + code)[far]
+            again = self.window.take(start >> 3, mode="clip").astype(np.int64)
+            bits[far] = again >> (32 - (start & 7) - extra[far]) & ((1 << extra[far]) - 1)
+        return found, bits, at + code + extra
 
     def check(self, at: np.ndarray, lanes: np.ndarray) -> None:
         if (at > self.end[lanes]).any():
@@ -447,12 +455,13 @@ def _dc_first(x: _Lanes, coef: np.ndarray, units: np.ndarray, tables: np.ndarray
     last = np.zeros((len(x.at), 4), np.int64)
     while len(live):
         unit = k % units[live]
-        size, at = x.symbol(at, tables[live, unit])
-        bits = x.take(at, size)
-        at = at + size
-        value = np.where(bits >> np.maximum(size - 1, 0) & 1, bits, bits - (1 << size) + 1)
+        found, bits, at = x.symbol(at, tables[live, unit])
+        if not found.all():
+            raise ValueError("no such code")
+        size = found >> 16 & 15
+        value = bits - ((1 << size) - 1) * (bits < (1 << size) >> 1)
         comp = comps[live, unit]
-        last[live, comp] += np.where(size > 0, value, 0)
+        last[live, comp] += value
         coef[x.order[x.first[live] + k], 0] = last[live, comp] << al
         k = k + 1
         go = k < x.count[live]
@@ -468,37 +477,42 @@ def _dc_refine(x: _Lanes, coef: np.ndarray, al: int) -> None:
 
 
 def _ac_first(x: _Lanes, coef: np.ndarray, ss: np.ndarray, se: np.ndarray, al: int) -> None:
-    """``ss`` and ``se``: first and last coefficient of each lane."""
-    flat = coef.reshape(-1)
+    """``ss`` and ``se``: first and last coefficient of each lane. The last two rows of ``coef`` are
+    written to by lanes that are done, which leave the loop some at a time, and are of no use.
+    """
+    flat, order, nowhere = coef.reshape(-1), np.append(x.order, len(coef) - 2), len(x.order)
     live, at = np.arange(len(x.at)), x.at.copy()
     block, k, table = x.first.copy(), ss.copy(), x.tables.copy()
-    stop = x.first + x.count
+    stop, base, gone = x.first + x.count, order[block] << 6, 0
     while len(live):
-        symbol, at = x.symbol(at, table)
-        run, size = symbol >> 4, symbol & 15
-        ends = (size == 0) & (run < 15)
-        n = np.where(ends, run, size)
-        bits = x.take(at, n)
-        at = at + n
-        k = k + run
-        put = np.flatnonzero(size)
-        if len(put) < len(size):
-            if (k[put] > se[put]).any():
-                raise ValueError("a run leaves its band")
-            size_, bits_, k_, block_ = size[put], bits[put], k[put], block[put]
-        else:
-            size_, bits_, k_, block_ = size, bits, k, block
-        value = np.where(bits_ >> (size_ - 1), bits_, bits_ - (1 << size_) + 1)
-        flat[(x.order[block_] << 6) + k_] = value << al
-        k = k + 1
+        found, bits, at = x.symbol(at, table)
+        size, ends = found & 15, found >> 24 > 0
+        k = k + (found >> 4 & 15)
+        if not found.all() or (k > se).any():
+            odd = (found == 0) | (k > se) & ~ends & (size > 0)
+            if (odd & (block < nowhere)).any():
+                raise ValueError("no such code, or a run leaves its band")
+        value = bits - ((1 << size) - 1) * (bits < (1 << size) >> 1)
+        flat[np.where(size > 0, base + k, len(flat) - 1)] = value << al
+        k += 1
         over = ends | (k > se)
         if over.any():
-            block = block + np.where(ends, (1 << run) + bits, over)
-            k = np.where(over, ss, k)
-            go = block < stop
-            if not go.all():
-                x.check(at[~go], live[~go])
-                live, at, block, k, table, stop, ss, se = (v[go] for v in (live, at, block, k, table, stop, ss, se))
+            at_end = np.flatnonzero(over)
+            step = np.where(ends[at_end], (1 << (found[at_end] >> 16 & 15)) + bits[at_end], 1)
+            k[at_end] = ss[at_end]
+            moved = block[at_end] + step
+            block[at_end] = moved
+            done = at_end[moved >= stop[at_end]]
+            if len(done):
+                fresh = done[stop[done] > 0]
+                x.check(at[fresh], live[fresh])
+                block[done], stop[done] = nowhere, 0
+                gone += len(fresh)
+            base[at_end] = order[block[at_end]] << 6
+            if gone * 8 > len(live):
+                go = stop > 0
+                live, at, block, k, table, stop, base, ss, se = (v[go] for v in (live, at, block, k, table, stop, base, ss, se))
+                gone = 0
 
 
 def _ac_refine(x: _Lanes, coef: np.ndarray, ss: int, se: int, al: int) -> None:
@@ -511,12 +525,10 @@ def _ac_refine(x: _Lanes, coef: np.ndarray, ss: int, se: int, al: int) -> None:
     place, stop = x.first * width, (x.first + x.count) * width
     notes, fresh = [], []
     while len(live):
-        symbol, at = x.symbol(at, table)
-        run, size = symbol >> 4, symbol & 15
-        ends = (size == 0) & (run < 15)
-        n = np.where(ends, run, size)
-        bits = x.take(at, n)
-        at = at + n
+        found, bits, at = x.symbol(at, table)
+        if not found.all():
+            raise ValueError("no such code")
+        run, size, ends = found >> 4 & 15, found & 15, found >> 24 > 0
         # The run ends at the (run + 1)-th place from here that is zero, or with whole blocks.
         nth = place - known[place] + run
         goal = free[np.minimum(nth, len(free) - 1)] if len(free) else place
@@ -576,7 +588,7 @@ def _decode(kind: tuple, jobs: list, coef: np.ndarray) -> None:
             unit_tables += [row + pad] * len(data)
             unit_comps += [comp + pad] * len(data)
             units += [len(row)] * len(data)
-    luts = np.concatenate([_lookup(t) for t in names]) if names else np.zeros(1, np.int32)
+    luts = np.concatenate([_lookup(t, dc) for t in names]) if names else np.zeros(1, np.int64)
     a = 0
     while a < len(pieces):  # some lanes at a time
         b, held = a, 0
@@ -606,7 +618,7 @@ def read_files(files: list[bytes]) -> list[dict]:
             c["row"] = rows
             rows += c["across"] * c["down"]
         info["rows"] = rows - info["row"]
-    coef = np.zeros((rows, 64), np.int16)
+    coef = np.zeros((rows + 2, 64), np.int16)
     turns: list[dict] = []
     for info in infos:
         done: list[tuple] = []  # (component, ss, se, turn) of the scans so far
