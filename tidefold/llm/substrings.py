@@ -31,6 +31,8 @@ joins without an aggregate below them, so a common name is split.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -349,18 +351,21 @@ def rounds(state: DataFrame):
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, tie, lo, hi): stretches of window starts that repeat a smaller doc_id's.
+    """doc_id, tie, cuts: stretches (lo, hi) of window starts that repeat a smaller doc_id's.
 
     ``docs`` has doc_id, not null, tie, which tells rows of one doc_id apart, and text.
     """
     spark = docs.sparkSession
     parsed = cut_lineage(parse(docs, window))
     live = shared_stretches(parsed)
-    settled = live.where("false").select(*_KEY, F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+    settled, tables = [live.where("false").select(*_KEY, F.lit(0).alias("lo"), F.lit(0).alias("hi"))], []
     for shared in rounds(_live_symbols(parsed, live, window)):
+        tables.append(shared)
         long = shared.where((F.col("words") >= window) & (F.col("least") < F.col("doc_id")))
-        settled = settled.union(long.select(*_KEY, F.col("first").alias("lo"), (F.col("first") + F.col("words") - window).alias("hi")))
-    settled = cut_lineage(settled)
+        settled.append(long.select(*_KEY, F.col("first").alias("lo"), (F.col("first") + F.col("words") - window).alias("hi")))
+    settled = cut_lineage(reduce(DataFrame.union, settled))
+    for shared in tables:
+        drop_folder(shared)
     drop_folder(parsed)
     free_shuffles(spark)
     done = settled.groupBy(*_KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("done"))
@@ -390,8 +395,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     free_shuffles(spark)
     # Written first, so that the join has no aggregate below it and a common window can be split.
     least = _shared(each, "w1", "w2")
+    free_shuffles(spark)
     some = each.join(least.hint("merge"), ["w1", "w2"]).where("least < doc_id")
-    return settled.union(some.select(*_KEY, F.col("at").alias("lo"), F.col("at").alias("hi")))
+    found = settled.union(some.select(*_KEY, F.col("at").alias("lo"), F.col("at").alias("hi")))
+    cuts = cut_lineage(found.groupBy(*_KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("cuts")))
+    for done in (live, todo, each, least, settled):
+        drop_folder(done)
+    free_shuffles(spark)
+    return cuts
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -404,11 +415,9 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     empty table gives no rows; other columns, whatever their names, are left out.
     """
     cols = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    found = repeated_windows(cols.where("doc_id is not null"), window)
+    cuts = repeated_windows(cols.where("doc_id is not null"), window)
     # Texts are shuffled on their own, after the shuffles that lead here are gone.
-    per_doc = cut_lineage(found.groupBy(*_KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("cuts")))
-    free_shuffles(docs.sparkSession)
-    joined = cols.join(per_doc.hint("merge"), _KEY, "left")
+    joined = cols.join(cuts.hint("merge"), _KEY, "left")
 
     def run(cols):
         n, gone, kept, spans = [], [], [], []
