@@ -6,7 +6,9 @@ attention pools its states, and a logistic unit scores the window. Every text is
 scored whole, in overlapping windows; its score is that of its worst window. The
 network is trained in numpy on the driver, on a bounded sample of labelled rows
 (``per_class`` of each class, of at most MOST_CHARS characters each): each epoch
-scores all windows of the sampled texts and learns from the worst window of each, and from one more window of each clean text.
+scores all windows of the sampled texts and learns from the worst window of each,
+and from one more window of each clean text. The first embedding column starts
+from log odds.
 """
 
 from __future__ import annotations
@@ -24,7 +26,6 @@ from .common import map_batches, map_same, mix
 WINDOW, STRIDE = 64, 32
 HIDDEN, WORD_DIM, CHAR_DIM, WORD_ROWS, CHAR_ROWS = 8, 6, 6, 1 << 14, 1 << 15
 PER_CLASS, EPOCHS, BATCH, RATE, SEED = 1000, 12, 64, 0.01, 7
-SPREAD = 0.1  # deviation of the embeddings that training starts from
 LEAST = 4  # sampled texts that must have a word or n-gram before it is learnt
 TEXT_BYTES = 4_000_000  # text that a Python worker takes at a time
 MOST_CHARS = 100_000  # characters of a text that may be trained on
@@ -276,9 +277,7 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = EPOCH
     # Index 0 is padding: a word with one n-gram row that is never read.
     rows, grams, ends = np.append(0, rows), np.append(np.int32(0), grams), np.append(1, ends + 1)
     starts = np.concatenate([[0], ends[:-1]])
-    learns = _learnable(own, rows, grams, starts, ends)
-    for k, seen in learns.items():
-        net.p[k] += (rng.standard_normal(net.p[k].shape) * SPREAD).astype(np.float32) * seen
+    learns = _start_from_odds(net, own, y, rows, grams, starts, ends)
     all_ids, first = np.concatenate(own), np.cumsum([0] + [len(x) for x in own])
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
@@ -329,19 +328,28 @@ def _all_gates(net, rows, grams, starts, ends) -> dict[str, np.ndarray]:
     return out
 
 
-def _learnable(own, rows, grams, starts, ends) -> dict[str, np.ndarray]:
-    """Which embedding rows may learn: those that LEAST or more sampled texts have. The
+def _start_from_odds(net, own, y, rows, grams, starts, ends) -> dict[str, np.ndarray]:
+    """First embedding column: smoothed log odds of a word or n-gram among toxic texts.
+
+    Returns which rows may learn: those that LEAST or more sampled texts have. The
     others stay zero, so that a rare word can't stand for its text.
     """
-    word, gram = np.zeros(WORD_ROWS, np.int64), np.zeros(CHAR_ROWS, np.int64)
-    for ids in own:
+    n_pos, n_neg = y.sum(), len(y) - y.sum()
+    word = np.zeros((2, WORD_ROWS), np.float32)
+    gram = np.zeros((2, CHAR_ROWS), np.float32)
+    for ids, v in zip(own, y.astype(int)):
         used = np.unique(ids)
         used = used[used > 0]
-        word[np.unique(rows[used])] += 1
+        word[v, np.unique(rows[used])] += 1
         sizes = ends[used] - starts[used]
         flat = np.repeat(starts[used] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        gram[np.unique(grams[flat])] += 1
-    return {k: (seen >= LEAST)[:, None].astype(np.float32) for k, seen in (("Ew", word), ("Ec", gram))}
+        gram[v, np.unique(grams[flat])] += 1
+    learns = {}
+    for table, seen in (("Ew", word), ("Ec", gram)):
+        odds = np.log(((seen[1] + 1) / (n_pos + 2)) / ((seen[0] + 1) / (n_neg + 2)))
+        learns[table] = (seen.sum(0) >= LEAST)[:, None].astype(np.float32)
+        net.p[table][:, 0] = 0.5 * odds * learns[table][:, 0]
+    return learns
 
 
 def _threshold(logit: np.ndarray, y: np.ndarray, share: float) -> float:
@@ -365,8 +373,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Netwo
 
     That bounds what the driver takes, with texts longer than MOST_CHARS left out of
     the sample. Null and empty texts teach nothing; without rows of both classes all
-    scores are the share of toxic rows. Rows are taken in the order of a hash of doc_id. Labels without a doc_id or a
-    0/1 value are not used; of repeated labels the highest counts.
+    scores are the share of toxic rows. Rows are taken in the order of a hash of
+    doc_id. Labels without a doc_id or a 0/1 value are not used; of repeated labels the highest counts.
     """
     known = labels.select("doc_id", "toxic").where("toxic in (0, 1) and doc_id is not null").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
