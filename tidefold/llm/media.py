@@ -45,7 +45,7 @@ _BASIS = np.rint(
 )
 _TAG = b"tidefold"
 #: Units (MCUs, in AC scans blocks) between restart markers.
-RESTART = 32
+RESTART = 8
 #: Text that a Python worker takes at a time, and coefficients that it decodes at a time.
 TEXT_BYTES, GROUP = 1_000_000, 1 << 22
 
