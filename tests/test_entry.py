@@ -16,7 +16,7 @@ def test_entry_without_the_optional_parts(tmp_path):
         copy = shutil.copytree if os.path.isdir(source) else shutil.copy
         copy(source, tmp_path / name)
     shutil.rmtree(tmp_path / "tidefold" / "llm", ignore_errors=True)
-    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) == 37 == len(e.oracle_sql()), len(q)"
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) == 41 == len(e.oracle_sql()), len(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
 
 
