@@ -140,6 +140,20 @@ def test_run_gives_what_the_stages_give(spark, tables):
     assert P.run(spark, tables).count() > 100
 
 
+def test_empty_tables_repeated_rows_long_texts_and_clashing_columns(spark, tmp_path):
+    from .conftest import with_clashes
+
+    long = " ".join(f"w{k % 4001}" for k in range(60_000))
+    odd = [(1, "same row here", "en", "a", 13), (1, "same row here", "en", "a", 13), (2, long, None, None, None), (None, "no id", "en", "a", 5), (3, None, "en", "b", 0)]
+    for name, own in (("none", []), ("odd", odd)):
+        docs = spark.createDataFrame(own, "doc_id long, text string, lang string, source string, n_chars long")
+        with_clashes(docs).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert P.run(spark, f"{tmp_path}/none").collect() == []
+    got = P.run(spark, f"{tmp_path}/odd").collect()
+    assert {r.doc_id for r in got} == {None, 1, 2} and len({r.ids_sha256 for r in got if r.doc_id == 1}) == 1
+
+
 def test_registration():
     import __spark_entry__ as entry
 

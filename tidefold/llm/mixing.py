@@ -251,7 +251,10 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int
     parts = parts.withColumn("nth", F.row_number().over(nth))
     alike = Window.partitionBy("doc_id", "size", "tag").orderBy(F.lit(0))
     whole = packed.where("size > 0").withColumnRenamed("tie", "tag").withColumn("nth", F.row_number().over(alike))
-    joined = whole.join(parts.hint("merge"), ["doc_id", "size", "tag", "nth"]).select("row", "text", "size", "at", "taken")
+    # Joined by a key that rows without a doc_id have too.
+    who = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"))
+    whole, parts = (x.withColumn("who", who).drop("doc_id") for x in (whole, parts))
+    joined = whole.join(parts.hint("merge"), ["who", "size", "tag", "nth"]).select("row", "text", "size", "at", "taken")
     held = joined.schema["row"]
 
     def cut(batches):
