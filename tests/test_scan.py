@@ -63,6 +63,51 @@ def test_positions_in_either_direction(view):
     assert scan.with_position(view.limit(0)).collect() == []
 
 
+@pytest.fixture
+def many_stretches(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+@pytest.mark.parametrize("mode", ["int", "string", "any"])
+def test_positions_over_many_stretches(spark, many_stretches, mode):
+    from pyspark.sql import functions as F
+
+    n = 4000
+    number = F.col("id") - n // 2
+    text = F.format_string("k%05d", "id")
+    key = {"int": number, "string": text, "any": F.struct((F.col("id") % 2).alias("kind"), text.alias("str"))}[mode]
+    rows = spark.range(n).select(key.alias("key"), "id").repartition(7)
+    want = sorted(rows.collect(), key=lambda r: r.key)
+    for reverse in (False, True):
+        got = {r.id: r.pos for r in scan.with_position(rows, reverse).collect()}
+        order = list(reversed(want)) if reverse else want
+        assert got == {r.id: k + 1 for k, r in enumerate(order)}
+    parts = {r._part for r in scan.stretch_of(rows, scan.key_cuts(rows), _part="key").select("_part").distinct().collect()}
+    assert len(parts) > 6
+
+
+def test_sums_with_null_and_repeated_keys(spark, many_stretches):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select(F.when(F.col("id") >= 1000, F.col("id")).when(F.col("id") >= 5, F.lit(2000)).alias("key"), "id")
+    got = sorted((r.rnk, -1 if r.key is None else r.key) for r in scan.rank(rows).select("rnk", "key").collect())
+    want = sorted([-1] * 5 + [2000] * 995 + list(range(1000, 3000)))
+    assert got == list(enumerate(want))
+
+
+def test_positions_run_nothing_before_they_are_asked_for(spark, view):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("positions", "plan only")
+    try:
+        scan.with_position(view)
+        assert not tracker.getJobIdsForGroup("positions")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_committed_uses_a_number_again(spark):
     log = spark.createDataFrame(
         [
@@ -84,14 +129,16 @@ def test_fold_keeps_a_null_value_of_the_newest_record(spark):
     assert [tuple(r) for r in fold.fold(log, carry=["value"]).collect()] == [("k", None)]
 
 
-def test_overlap_matches_brute_force(spark):
+@pytest.mark.parametrize("n, most", [(25, 60), (400, 900)])
+def test_overlap_matches_brute_force(spark, many_stretches, n, most):
     import random
 
     rng = random.Random(5)
-    ranges = [(k, *sorted((rng.randint(0, 60), rng.randint(0, 60)))) for k in range(25)]
+    ranges = [(k, *sorted((rng.randint(0, most), rng.randint(0, most)))) for k in range(n)]
     df = spark.createDataFrame(ranges, "seg long, lo long, hi long")
     want = {(a[0], b[0]) for a in ranges for b in ranges if a[0] < b[0] and a[1] <= b[2] and b[1] <= a[2]}
-    assert {(r.seg_a, r.seg_b) for r in compact.overlapping(df).collect()} == want
+    found = [(r.seg_a, r.seg_b) for r in compact.overlapping(df).collect()]
+    assert len(found) == len(want) and set(found) == want
 
 
 def test_purge_keeps_needed_tombstones(spark):

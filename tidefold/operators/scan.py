@@ -11,7 +11,6 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.keys import bound, within
@@ -148,45 +147,50 @@ def rank(view: DataFrame) -> DataFrame:
     return ranked(view, False, 0, "rnk")
 
 
-#: Most stretches that the key space is cut into, and keys looked at for each cut.
-STRETCHES, KEYS_PER_CUT = 256, 16
+#: Keys looked at for the cuts of the key space: one in so many, chosen by hash.
+LOOK_AT = 64
 
 
-def stretch_of(rows: DataFrame) -> Column:
-    """Number of the key stretch that a row's ``key`` lies in, rising with the key.
+def key_cuts(rows: DataFrame) -> DataFrame:
+    """One row with ``cuts``, sorted keys that part the ``key`` space of ``rows``: less than
+    ``spark.sql.shuffle.partitions`` of them.
 
-    The cuts come from a bounded number of keys, so stretches are about even;
-    what is computed with them doesn't depend on where they fall.
+    They are keys chosen by hash, one a hash group, so a key that many rows repeat
+    counts once and the cuts are about even in keys.
     """
-    kind = rows.schema["key"].dataType
-    n = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), STRETCHES)
-    some = rows.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(n * KEYS_PER_CUT).orderBy("key").collect()
-    cuts = [some[k * len(some) // n]["key"] for k in range(1, n)] if len(some) >= n > 1 else []
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1, 1)
+    key, code = F.col("key"), F.xxhash64("key")
+    seen = rows.select("key").where(key.isNotNull() & (F.pmod(code, F.lit(LOOK_AT)) == 0))
+    some = seen.groupBy(F.pmod(F.xxhash64(code), F.lit(n)).alias("_group")).agg(F.min_by("key", code).alias("key"))
+    return some.agg(F.sort_array(F.collect_list("key")).alias("cuts"))
 
-    def at(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("key") < _constant(cuts[mid], kind), at(lo, mid)).otherwise(at(mid + 1, hi))
 
-    return at(0, len(cuts))
+def stretch_of(rows: DataFrame, cuts: DataFrame, **named: str) -> DataFrame:
+    """For each name=column add the number of the key stretch that the column's key lies in, rising with the key.
 
+    The cuts are a scalar subquery, so nothing runs before the plan does. What is
+    computed with stretches doesn't depend on where they are cut. Null keys are in stretch 0.
+    """
+    bits = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length()
+    # Binary search: the number of cuts not after the key, the greatest power of two first.
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(bits))])
+
+    def place(key: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_cuts", at + step - 1) <= key, at + step).otherwise(at))
 
-def _constant(value, kind: T.DataType) -> Column:
-    if isinstance(kind, T.StructType):
-        return F.struct(*[_constant(value[f.name], f.dataType).alias(f.name) for f in kind])
-    return F.lit(bytes(value) if isinstance(value, bytearray) else value).cast(kind)
+    out = rows.withColumn("_cuts", cuts.scalar())
+    return out.withColumns({name: place(F.col(c)) for name, c in named.items()}).drop("_cuts")
 
 
 def running(rows: DataFrame, amount: Column, name: str, reverse: bool = False) -> DataFrame:
     """Add the sum of ``amount`` over all rows before this one in key order.
 
     Sums run within stretches of the key space; of the stretches only the totals
-    meet in one task, at most STRETCHES of them.
+    meet in one task, no more than there are shuffle partitions.
     """
     columns = rows.columns
     order = _key_order(reverse)
-    cut = rows.withColumn("_part", stretch_of(rows)).withColumn("_amount", amount)
+    cut = stretch_of(rows, key_cuts(rows), _part="key").withColumn("_amount", amount)
     inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     part_order = F.col("_part").desc() if reverse else F.col("_part").asc()
     ahead = Window.orderBy(part_order).rowsBetween(Window.unboundedPreceding, -1)
